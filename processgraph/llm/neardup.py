@@ -167,41 +167,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, group_id): documents linked by chains of near copies share the least doc_id of them.
 
     Every document with an id has one row; one that is like no other has its own id as group_id. Texts
-    that are null or without words are like no other. Rows that repeat an id are one document (the
-    signature of one of its texts counts). Rows without an id are left out. Copies of equal shingle
+    that are null or without words are like no other. Rows that repeat an id are one document, which is
+    like whatever any of its texts is like. Rows without an id are left out. Copies of equal shingle
     sets meet in one step; ties can't arise, since group_id is a minimum. No rows give no rows. Other
     columns, whatever their names, are not read. Ids must be integers.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = rows.mapInArrow(sign, "id long, sig binary").groupBy("id").agg(F.min("sig").alias("sig"))
-    same = Window.partitionBy(F.xxhash64("sig"), F.xxhash64(F.lit(7), "sig"))
-    signed = cut(signed.select("id", "sig", F.min("id").over(same).alias("first")))
-    copies = signed.where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    one = signed.where("id = first").select("id", "sig")
+    same = Window.partitionBy(F.xxhash64("sig"), F.xxhash64(F.lit(7), "sig")).orderBy("id")
+    signed = rows.mapInArrow(sign, "id long, sig binary")
+    signed = cut(signed.select("id", "sig", F.first("id").over(same).alias("first"), F.row_number().over(same).alias("nth")))
+    copies = signed.where("nth > 1").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    one = signed.where("nth = 1").select("id", "sig")
     roots = F.explode(F.array(*(F.lit(int(mix(np.array([t + 1], U64)).view(np.int64)[0])) for t in range(trees))))
     front = one.select(roots.alias("node"), "id", "sig").mapInArrow(branch, "node long, id long")
-    links = [copies]
+    lists = []
     for level in range(DEPTH):
-        sized = front.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1")
-        front = cut(sized)
+        front = cut(front.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1"))
+        if not level:
+            one = cut(one.join(front.select("id").distinct(), "id", "left_semi"))
         last = level == DEPTH - 1
         small = front if last else front.where(F.col("n") <= leaf)
-        lists = small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        lists = lists.groupBy("ids").agg(F.min("node").alias("leaf"))
-        members = lists.select("leaf", F.explode("ids").alias("id")).join(one, "id").select("leaf", "id", "sig")
-        members = members.repartition("leaf").sortWithinPartitions("leaf")
-        links.append(members.mapInArrow(compare(threshold), "a long, b long"))
+        lists.append(small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")))
         big = front.where(F.col("n") > leaf)
         if last or big.isEmpty():
             break
         front = big.join(one, "id").select("node", "id", "sig").mapInArrow(branch, "node long, id long")
-    found = links[0]
-    for x in links[1:]:
-        found = found.unionAll(x)
-    joined = components(found)
-    ids = rows.select("id").distinct()
-    out = ids.join(joined.withColumnRenamed("node", "id"), "id", "left")
+    nodes = lists[0]
+    for x in lists[1:]:
+        nodes = nodes.unionAll(x)
+    nodes = nodes.groupBy("ids").agg(F.min("node").alias("leaf"))
+    members = nodes.select("leaf", F.explode("ids").alias("id")).join(one, "id").select("leaf", "id", "sig")
+    found = members.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare(threshold), "a long, b long")
+    joined = components(copies.unionAll(found)).withColumnRenamed("node", "id")
+    out = rows.select("id").distinct().join(joined, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("group_id"))
 
 
