@@ -4,14 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from processgraph.llm import neardup
+from processgraph.llm import langid, neardup, packing, pii, quality
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network gives less than one half go. It learns from labelled documents of sf_dir."""
+    model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a main language, or with one that the corpus doesn't name, go."""
+    return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of the least id stays."""
     return neardup.drop_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; n_chars follows the text."""
+    return pii.redact_table(docs, pii.fit(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("language_id", language_id), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packed)]
+#: The classifiers, the Viterbi labels and the signatures have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
