@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from processgraph.llm import fingerprint, langid, neardup, packing, pii, quality
+from processgraph.llm import bpe, fingerprint, html, langid, lm, mtree, neardup, packing, pii, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -38,5 +55,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_spans, op2_near_duplicates, op3_quality, op7_fingerprints, op9_personal_data, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_spans, op2_near_duplicates, op3_quality, op4_nearest_vectors, op5_byte_bpe, op6_html_text, op7_fingerprints, op8_language_model, op9_personal_data, op10_packing)
+}
+#: The others rest on trained models, hashes or searches that SQL doesn't express; tests compare them with brute force.
+SQL: dict[str, str] = {
+    "op4_nearest_vectors": """
+        SELECT vec_id, rank, neighbor_id, round(d, 6) AS distance FROM (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rank FROM (
+            SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+        WHERE rank <= 10
+    """,
+}
