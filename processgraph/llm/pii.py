@@ -29,6 +29,8 @@ _KEY = re.compile(r"AKIA[0-9A-Z]{16}|(?:ghp|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{16
 _MARKS = ("AKIA", "ghp", "sk_", "sk-", "pk_", "pk-", "xox")
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+\-]+$"), re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+_CARD = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
+_PART = re.compile(r"[+(]?\d[\d()\-. ]*\d")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}")
 _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _ENDINGS = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "us", "eu", "it", "nl", "ch", "at", "be", "ca", "au", "jp", "cn", "ru", "br", "in", "mx"}
@@ -62,16 +64,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         s, e = m.start(), m.end()
         if s and (text[s - 1].isalnum() or text[s - 1] in "._"):
             continue
-        run = m.group()
-        for x in _IP.finditer(run):
-            found.append((s + x.start(), s + x.end(), "IP"))
-        digits = sum(c.isdigit() for c in run)
-        if run.count(".") < 3 or digits > 12:
-            for part in re.finditer(r"[+(]?\d[\d()\-. ]*\d", run):
-                for one in _split(part.group()):
-                    n = sum(c.isdigit() for c in one[2])
-                    if 7 <= n <= 19:
-                        found.append((s + part.start() + one[0], s + part.start() + one[1], "CARD" if 13 <= n <= 19 and "(" not in one[2] and "+" not in one[2] else "PHONE"))
+        found += _numbers(text, s, e)
     for pattern in (_RUN, _HEX, _KEY) if any(x in text for x in _MARKS) else (_RUN, _HEX):
         for m in pattern.finditer(text):
             s, e = m.span(m.lastindex or 0)
@@ -88,12 +81,24 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _split(run: str) -> list[tuple[int, int, str]]:
-    """Card numbers that stand next to each other are two spans."""
-    long = [m for m in re.finditer(r"(?<!\d)\d{13,19}(?!\d)", run)]
-    if len(long) > 1 or (long and len(long[0].group()) < len(run)):
-        return [(m.start(), m.end(), m.group()) for m in long]
-    return [(0, len(run), run)]
+def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """The spans of a run of digits and separators: addresses, whole card numbers, and then what lies between them."""
+    out, rest = [], [(start, end)]
+    for pattern, kind in ((_IP, "IP"), (_CARD, "CARD")):
+        left = []
+        for s, e in rest:
+            for m in pattern.finditer(text, s, e):
+                out.append((*m.span(), kind))
+                left.append((s, m.start()))
+                s = m.end()
+            left.append((s, e))
+        rest = left
+    for s, e in rest:
+        if m := _PART.search(text, s, e):
+            n = sum(c.isdigit() for c in m.group())
+            if 7 <= n <= 19:
+                out.append((*m.span(), "CARD" if n >= 13 and m.group()[0] not in "+(" else "PHONE"))
+    return out
 
 
 def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
