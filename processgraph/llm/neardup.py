@@ -5,7 +5,8 @@ agree in each token with the probability of their Jaccard similarity. Each of se
 trees branches a node's documents by the tokens at a few coordinates that the node itself selects:
 two per node, so that a pair at the threshold 0.5 is expected to stay together in one child. Nodes of
 one document end, nodes of up to LEAF documents are compared exhaustively, larger ones branch on, to
-DEPTH levels; what is still large then (sets that hardly differ) is compared exhaustively as well.
+DEPTH levels. A child that keeps the share DENSE of its parent holds sets that hardly differ: branching
+doesn't divide it, so it is compared exhaustively at once, as is what is still large at the last level.
 
 Comparison joins two documents whose signatures agree in at least the threshold's share of tokens.
 Inside a node only links between different components are needed, so pairs that are already joined
@@ -25,7 +26,7 @@ from processgraph.lineage import cut
 from processgraph.llm.components import components
 from processgraph.llm.textnp import U64, chunks, mix, text_shingles, utf8
 
-TOKENS, SHINGLE, THRESHOLD, TREES, WIDTH, LEAF, DEPTH = 128, 3, 0.5, 6, 2, 400, 6
+TOKENS, SHINGLE, THRESHOLD, TREES, WIDTH, LEAF, DEPTH, DENSE = 128, 3, 0.5, 6, 2, 100, 6, 0.7
 _XOR = mix(np.arange(1, TOKENS + 1, dtype=U64)).astype(np.uint32)
 _MUL = mix(np.arange(10_001, TOKENS + 10_001, dtype=U64)).astype(np.uint32) | np.uint32(1)
 
@@ -63,7 +64,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def branch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, sig) to (node, id) of the children: the node selects WIDTH coordinates, the tokens there name the child."""
+    """(node, id, sig, n) to (node, id, n) of the children, n being the size of the parent: the node selects WIDTH coordinates, the tokens there name the child."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -75,7 +76,7 @@ def branch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = (first + step * U64(k)) % U64(TOKENS)
             token = sig[row, c.astype(np.int64)].astype(U64)
             child = mix(mix(node + c) ^ token).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(1)], ["node", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(1), batch.column(3)], ["node", "id", "pn"])
 
 
 def _agree(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -109,7 +110,7 @@ def exhaust(sig: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, in
 
 
 def _groups(leaf: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[list, list]:
-    """Links of whole nodes that lie one after the other."""
+    """Links of whole nodes that lie one after the other: of each node no more than it has documents."""
     cut_at = np.flatnonzero(np.diff(leaf)) + 1
     start, size = np.concatenate([[0], cut_at]), np.diff(np.concatenate([[0], cut_at, [len(leaf)]]))
     a, b = [], []
@@ -117,12 +118,17 @@ def _groups(leaf: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float
         own = start[size == n]
         if 2 <= n <= 32:
             i, j = np.triu_indices(n, 1)
-            p, q = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-            for s in range(0, len(p), 20_000):
-                x, y = p[s : s + 20_000], q[s : s + 20_000]
-                ok = _agree(sig[x], sig[y], threshold)
-                a.append(ids[x[ok]])
-                b.append(ids[y[ok]])
+            for s in range(0, len(own), max(1, 20_000 // len(i))):
+                at = own[s : s + max(1, 20_000 // len(i))]
+                like = np.zeros((len(at), n, n), bool)
+                like[:, i, j] = _agree(sig[(at[:, None] + i).ravel()], sig[(at[:, None] + j).ravel()], threshold).reshape(len(at), -1)
+                like |= like.transpose(0, 2, 1) | np.eye(n, dtype=bool)
+                label, before = np.broadcast_to(np.arange(n), (len(at), n)), None
+                while before is None or (label != before).any():
+                    before, label = label, np.where(like, label[:, None, :], n).min(2)
+                g, x = np.nonzero(label != np.arange(n))
+                a.append(ids[at[g] + x])
+                b.append(ids[at[g] + label[g, x]])
         elif n > 32:
             for s in own:
                 if links := exhaust(sig[s : s + n], threshold):
@@ -179,19 +185,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = signed.where("nth > 1").select(F.col("id").alias("a"), F.col("first").alias("b"))
     one = signed.where("nth = 1").select("id", "sig")
     roots = F.explode(F.array(*(F.lit(int(mix(np.array([t + 1], U64)).view(np.int64)[0])) for t in range(trees))))
-    front = one.select(roots.alias("node"), "id", "sig").mapInArrow(branch, "node long, id long")
+    kind = "node long, id long, pn long"
+    front = one.select(roots.alias("node"), "id", "sig", F.lit(None).cast("long")).mapInArrow(branch, kind)
     lists = []
     for level in range(DEPTH):
         front = cut(front.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1"))
         if not level:
             one = cut(one.join(front.select("id").distinct(), "id", "left_semi"))
         last = level == DEPTH - 1
-        small = front if last else front.where(F.col("n") <= leaf)
+        done = (F.col("n") <= leaf) | F.coalesce(F.col("n") >= DENSE * F.col("pn"), F.lit(last)) | F.lit(last)
+        small = front.where(done)
         lists.append(small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-        big = front.where(F.col("n") > leaf)
+        big = front.where(~done)
         if last or big.isEmpty():
             break
-        front = big.join(one, "id").select("node", "id", "sig").mapInArrow(branch, "node long, id long")
+        front = big.join(one, "id").select("node", "id", "sig", "n").mapInArrow(branch, kind)
     nodes = lists[0]
     for x in lists[1:]:
         nodes = nodes.unionAll(x)
