@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from processgraph.llm.sample import bounded
 from processgraph.llm.textnp import LOWER, SPACE, chunks, utf8, words
 
 TRAIN_DOCS, SWITCH, BUCKETS, NEVER = 3000, 12.0, 1 << 16, -60.0
@@ -76,12 +77,17 @@ def trigrams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def word_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(words, languages) log-probabilities, each word's best being 0, which words have letters, and the languages."""
+    """(words, languages) log-probabilities, each word's best being 0, which words have letters, and the languages.
+
+    Scripts that the model has no language of stand for one language each; Latin words are 'und' then.
+    """
     script = word_scripts(buf, starts, ends)
     langs = list(model["langs"])
     for s in np.unique(script):
         if s > 1 and SCRIPTS[s] not in model["scripts"] and ALONE[SCRIPTS[s]] not in langs:
             langs.append(ALONE[SCRIPTS[s]])
+    if "Latin" not in model["scripts"]:
+        langs.append("und")
     out = np.zeros((len(starts), len(langs)), np.float32)
     if len(starts):
         gram, low = trigrams(buf, starts, ends)
@@ -92,7 +98,7 @@ def word_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: di
     fits[0] = True
     for k, lang in enumerate(langs):
         own = model["script_of"].get(lang)
-        fits[[i for i, s in enumerate(SCRIPTS) if s and (s == own or ALONE.get(s) == lang)], k] = True
+        fits[[i for i, s in enumerate(SCRIPTS) if s and (s == own or ALONE.get(s) == lang or (lang == "und" and s == "Latin"))], k] = True
     fits[~fits.any(1)] = True
     ok = fits[script]
     out[:, len(model["langs"]) :] = 0
@@ -195,7 +201,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from at most `most` documents that name their language; nulls don't count. No documents give a model of scripts alone."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where("i is not null and t is not null and l is not null and l <> ''")
-    found = rows.orderBy(F.xxhash64("i"), "i", "t").limit(most).toPandas()
+    found = bounded(rows, F.col("i"), docs.count(), most).toPandas().sort_values(["i", "t"], kind="stable")
     return fit_texts(found["t"].tolist(), found["l"].tolist())
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET"]
 LABELERS, LEAST, ROUNDS = 4, 0.5, 200
-_PRIOR = np.array([[0.5, 0.3, 0.2], [0.002, 0.1, 0.898]])
+PRIOR, _BELIEF = 0.1, np.array([[0.5, 0.3, 0.2], [0.002, 0.1, 0.898]])
 _NUMBER = re.compile(r"[+(\d](?:[\d()]|[ .\-](?=[\d(])){6,}")
 _RUN = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_\-]{12,}={0,2})")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}(?![A-Za-z0-9])")
@@ -29,7 +29,7 @@ _KEY = re.compile(r"AKIA[0-9A-Z]{16}|(?:ghp|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{16
 _MARKS = ("AKIA", "ghp", "sk_", "sk-", "pk_", "pk-", "xox")
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+\-]+$"), re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
-_CARD = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
+_CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")
 _PART = re.compile(r"[+(]?\d[\d()\-. ]*\d")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}")
 _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
@@ -82,9 +82,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 
 
 def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
-    """The spans of a run of digits and separators: addresses, whole card numbers, and then what lies between them."""
+    """The spans of a run of digits and separators: addresses, card numbers, phone numbers, and then what lies between them."""
     out, rest = [], [(start, end)]
-    for pattern, kind in ((_IP, "IP"), (_CARD, "CARD")):
+    for pattern, kind in ((_IP, "IP"), (_CARD, "CARD"), (_PHONE, "PHONE")):
         left = []
         for s, e in rest:
             for m in pattern.finditer(text, s, e):
@@ -136,7 +136,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     Dawid-Skene with two classes, started from unanimity: a span that some labeler is for and none
     against starts at 0.9, one with votes both ways at 0.2, one with votes against only at 0.1, one
     that nobody has an opinion on at 0.5. Strict patterns and gazetteers are built so that true spans
-    seldom fail them and false ones often do; priors as heavy as the data say so, or else the two
+    seldom fail them and false ones often do; priors that weigh PRIOR times the data say so, or else the two
     classes, or two labelers alone, couldn't be told from their exchange.
     """
     vote = patterns.astype(int) + 1
@@ -148,7 +148,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
         share = (w[1].sum() + 1) / (w.sum() + 2)
         for k in range(patterns.shape[1]):
             for c in (0, 1):
-                own = np.bincount(vote[:, k], w[c], 3) + 0.5 + (counts.sum() * _PRIOR[c] if k < 2 else 0)
+                own = np.bincount(vote[:, k], w[c], 3) + 0.5 + (counts.sum() * PRIOR * _BELIEF[c] if k < 2 else 0)
                 table[k, c] = own / own.sum()
         logit = np.log(share / (1 - share)) + sum(np.log(table[k, 1, vote[:, k]] / table[k, 0, vote[:, k]]) for k in range(patterns.shape[1]))
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

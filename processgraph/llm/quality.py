@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from processgraph.llm.sample import bounded
 from processgraph.llm.textnp import chunks, utf8
 
 KERNEL, CHUNK, FILTERS, EMBED = 4, 64, 8, 8
@@ -134,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Without labels of both classes there is nothing to learn, and the model accepts everything.
     """
     tagged = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good")).where("__id is not null and __good in (0, 1)")
-    own = [tagged.where(f"__good = {k}").orderBy(F.xxhash64("__id"), "__id").limit(most // 2) for k in (0, 1)]
+    sizes = {r["__good"]: r["count"] for r in tagged.groupBy("__good").count().collect()}
+    own = [bounded(tagged.where(f"__good = {k}"), F.col("__id"), sizes.get(k, 0), most // 2) for k in (0, 1)]
     chosen = own[0].unionAll(own[1]).dropDuplicates(["__id"])
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
     found = rows.join(F.broadcast(chosen), "__id").select("__id", "__text", "__good").toPandas().sort_values("__id", kind="stable")
