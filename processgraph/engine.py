@@ -129,3 +129,55 @@ def path_text(g: Graph, found: DataFrame) -> DataFrame:
     w = web_paths(g, found)
     steps = F.array_sort(F.collect_list(F.struct("step", F.concat(F.lit("-("), "arrow", F.lit(")-> "), "text").alias("s"))))
     return w.groupBy("pos", "key").agg(F.array_join(F.transform(steps, lambda x: x["s"]), " ").alias("line"))
+
+
+def stories(g: Graph, starts: list[int], arrow: int, limit: int = 100) -> DataFrame:
+    """(root, step, node, text, chapter, x, z): from each start the walk along one arrow, laid out along z."""
+    from processgraph.operators import layout
+
+    walks = paths.axial_paths(g.links, arrow, limit).where(F.col("root").isin(*starts))
+    places = None
+    for n, root in enumerate(starts, 1):
+        own = layout.story_coordinates(walks.where(F.col("root") == root).select("step", "node"), n, len(starts), limit).withColumn("root", F.lit(root))
+        places = own if places is None else places.unionByName(own)
+    out = walks.join(places.select("root", "node", "x", "z"), ["root", "node"])
+    return out.join(g.nodes.select(F.col("nid").alias("node"), "text", "chapter"), "node").select("root", "step", "node", "text", "chapter", "x", "z")
+
+
+def page_json(g: Graph, lines: DataFrame) -> DataFrame:
+    """(chapter, line, json) of page lines with the texts of their paths."""
+    at = lines.select("chapter", "line", "ctx", F.posexplode("path").alias("i", "x")).select("chapter", "line", "ctx", "i", "x.arr", "x.dst")
+    named = at.join(g.nodes.select(F.col("nid").alias("dst"), "text"), "dst").join(F.broadcast(g.arrows().select(F.col("ptr").alias("arr"), F.col("short").alias("arrow"))), "arr", "left")
+    notes = F.transform(F.array_sort(F.collect_list(F.struct("i", "arrow", "text"))), lambda x: F.struct(x["arrow"].alias("arrow"), x["text"].alias("text")))
+    return named.groupBy("chapter", "line", "ctx").agg(notes.alias("notes")).select("chapter", "line", F.to_json(F.struct("chapter", "line", "ctx", "notes")).alias("json"))
+
+
+def event_json(g: Graph, node: int, depth: int = 3, limit: int = 100) -> DataFrame:
+    """One row (nid, json): a node with its orbit by channel and the satellites' places."""
+    from processgraph.operators import layout
+
+    around = analytics.orbit(paths.forward_cone(g.links, node, depth, limit), g.nodes, depth, limit=limit)
+    placed = layout.orbit_coordinates(around)
+    sats = placed.agg(F.array_sort(F.collect_list(F.struct("stindex", "place", "radius", "text", "x", "y"))).alias("orbits"))
+    return g.nodes.where(F.col("nid") == node).crossJoin(sats).select("nid", F.to_json(F.struct(F.struct("class", "cptr").alias("nptr"), "text", "chapter", "orbits")).alias("json"))
+
+
+def browse(g: Graph, chapter: str, page: int = 1, width: int = 80) -> str:
+    """A page of a chapter's notes as text, 100 lines a page."""
+    from processgraph.operators.context import page as lines
+
+    rows = page_json(g, lines(g.pagemap, chapter, number=page, size=100)).orderBy("chapter", "line").collect()
+    import json
+
+    return "\n".join(wrap(" ".join(f"({n['arrow']}) {n['text']}" if n.get("arrow") else n["text"] for n in json.loads(r["json"])["notes"]), width) for r in rows)
+
+
+def set_provenance(g: Graph, rows: DataFrame) -> Graph:
+    """Notes where nodes are from: rows have text, source, line, time and author; nulls are left out. Needs a note arrow."""
+    if g.registry.by_name("note") is None:
+        raise ValueError("no such arrow: note")
+    values = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"prov:{k}:"), F.col(k).cast("string"))) for k in ("source", "line", "time", "author")]))
+    own = rows.select(F.col("text").alias("src"), F.posexplode(values).alias("i", "dst"))
+    edges = own.select("src", F.lit("note").alias("arrow"), "dst", F.array().cast("array<string>").alias("context"), F.lit(1.0).cast("float").alias("wgt"), F.col("i").cast("bigint").alias("ord"))
+    none = g.spark.createDataFrame([], "text string, chapter string, seq boolean, ord bigint")
+    return g.extend(none, edges)

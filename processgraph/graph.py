@@ -93,6 +93,28 @@ class Graph:
         seen_chapters = vertices.where("chapter <> ''").select("chapter").distinct()
         return cls(spark, registry, nodes, cut(links), seen_chapters, pagemap if pagemap is not None else spark.createDataFrame([], PAGEMAP))
 
+    def extend(self, vertices: DataFrame, edges: DataFrame) -> Graph:
+        """The graph with more vertices and edges. Known texts keep their pointers, and an empty chapter is filled; new ones are numbered on."""
+        spark, top = self.spark, {r["class"]: r["top"] for r in self.top_pointers().collect()}
+        last = self.nodes.agg(F.max("ord")).first()[0] or 0
+        later = vertices.withColumn("ord", F.col("ord") + last + 1)
+        base = self.links.agg(F.max("ord")).first()[0] or 0
+        more = Graph.build(later, edges.withColumn("ord", F.col("ord") + F.lit(base // 2 + 1)), self.registry)
+        old = self.nodes.select("text", F.col("nid").alias("known"))
+        fresh = more.nodes.join(old, "text", "left_anti").drop("nid", "cptr")
+        shift = F.create_map(*[F.lit(x) for kv in top.items() for x in kv]) if top else F.create_map().cast("map<int,bigint>")
+        fresh = number(fresh, "class", ["ord", "text"], "cptr").withColumn("cptr", F.col("cptr") + F.coalesce(shift[F.col("class")], F.lit(0)))
+        fresh = cut(fresh.withColumn("nid", nid(F.col("class"), F.col("cptr"))))
+        filled = self.nodes.join(more.nodes.select("text", F.col("chapter").alias("given"), F.col("seq").alias("more_seq")), "text", "left")
+        filled = filled.withColumn("chapter", F.when(F.col("chapter") == "", F.coalesce("given", F.lit(""))).otherwise(F.col("chapter"))).withColumn("seq", F.col("seq") | F.coalesce("more_seq", F.lit(False)))
+        columns = self.nodes.columns
+        nodes = cut(filled.select(*columns).unionByName(fresh.select(*columns)))
+        ids = more.nodes.select(F.col("nid").alias("was"), "text").join(nodes.select("text", "nid"), "text").select("was", "nid")
+        links = more.links.join(ids.select(F.col("was").alias("src"), F.col("nid").alias("s")), "src").join(ids.select(F.col("was").alias("dst"), F.col("nid").alias("d")), "dst")
+        links = links.select(F.col("s").alias("src"), "stindex", "ord", "arr", "wgt", "ctx", F.col("d").alias("dst"))
+        grown = replace(self, nodes=nodes, chapters_seen=self.chapters_seen.unionByName(more.chapters_seen).distinct()).with_links(links)
+        return replace(grown, links=cut(grown.links))
+
     def with_links(self, links: DataFrame) -> Graph:
         """The same graph with more links; equal ones are one."""
         both = self.links.unionByName(links).groupBy("src", "stindex", "arr", "wgt", "ctx", "dst").agg(F.min("ord").alias("ord"))
