@@ -251,15 +251,16 @@ class Registry:
         return problems
 
 
-CONFIG_FILES = ("arrows-LT-1.sst", "arrows-NR-0.sst", "arrows-CN-2.sst", "arrows-EP-3.sst", "annotations.sst", "closures.sst")
-
-
 def config_files(folder: str) -> list[str]:
-    return [p for p in (os.path.join(folder, f) for f in CONFIG_FILES) if os.path.isfile(p)]
+    """The folder's files: those of arrows first, then annotations, closures and others, each by name."""
+    order = ("arrows", "annotations", "closures")
+    names = [n for n in os.listdir(folder) if os.path.isfile(os.path.join(folder, n)) and not n.startswith(".")]
+    rank = lambda n: next((k for k, o in enumerate(order) if n.startswith(o)), len(order))
+    return [os.path.join(folder, n) for n in sorted(names, key=lambda n: (rank(n), n))]
 
 
 def config_folder(paths: list[str] = ()) -> str | None:
-    """The folder that the environment variable names, else the first of the given and the usual ones that exists."""
-    named = os.environ.get("SST_CONFIG_PATH", "")
-    usual = [os.path.join(up, "SSTconfig") for up in (".", "..", os.path.join("..", ".."))]
+    """The folder that PROCESSGRAPH_CONFIG names, else the first of the given and the usual ones that exists."""
+    named = os.environ.get("PROCESSGRAPH_CONFIG", "")
+    usual = [os.path.join(up, "arrows") for up in (".", "..", os.path.join("..", ".."))]
     return next((p for p in [named, *paths, *usual] if p and os.path.isdir(p)), None)

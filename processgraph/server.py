@@ -34,7 +34,7 @@ def respond(g: Graph, path: str, q: dict[str, str]) -> tuple[int, object]:
 
     if path == "/health":
         return 200, {"status": "ok"}
-    if path in ("/searchN4L", "/api/search", "/search"):
+    if path in ("/api/search", "/search"):
         return 200, rows(engine.query(g, q.get("name") or q.get("q") or ""))
     if path in ("/api/stats", "/graph"):
         return 200, rows(g.stats())

@@ -56,7 +56,7 @@ def test_server(spark, g):
     assert server.respond(g, f"/node/{at}", {})[0] == 200
     assert {r["text"] for r in server.respond(g, f"/api/cone/{at}", {})[1]} == {"b", "c", "remark"}
     assert len(server.respond(g, f"/links/{at}", {})[1]) == 2
-    assert server.respond(g, "/searchN4L", {"name": "b"})[0] == 200
+    assert server.respond(g, "/search", {"name": "b"})[0] == 200
     assert server.respond(g, "/nothing", {})[0] == 404
     with pytest.raises(LookupError):
         server.respond(g, "/node/1/999", {})
@@ -65,7 +65,7 @@ def test_server(spark, g):
 def test_tables(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo")
     assert tables.text_documents(spark, str(tmp_path / "a.txt")).first().text == "one\n\ntwo"
-    (tmp_path / "n.n4l").write_text("-s\n a (then) b\n")
-    assert notes.files_graph(tables.note_files(spark, str(tmp_path / "n.n4l")), registry()).nodes.count() == 2
+    (tmp_path / "n.notes").write_text("-s\n a (then) b\n")
+    assert notes.files_graph(tables.note_files(spark, str(tmp_path / "n.notes")), registry()).nodes.count() == 2
     spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
     assert tables.parquet_tables(spark, str(tmp_path))["t"].count() == 3

@@ -172,3 +172,16 @@ def test_codecs(tmp_path):
         K.attach_asset(b"x" * (K.MAX_ASSET + 1), "n", "c", root=str(tmp_path))
     with pytest.raises(ValueError):
         K.attach_asset("http://example.org/x", "n", "c", root=str(tmp_path))
+
+
+def test_config_folder(tmp_path, monkeypatch):
+    from processgraph.registry import config_files, config_folder
+
+    (tmp_path / "annotations").write_text("- annotations\n % (goes)\n")
+    (tmp_path / "arrows-1").write_text("- leadsto\n + goes to (goes) - comes from (comes)\n")
+    (tmp_path / "zz").write_text("- nothing\n")
+    monkeypatch.setenv("PROCESSGRAPH_CONFIG", str(tmp_path))
+    assert config_folder() == str(tmp_path) and [f.rpartition("/")[2] for f in config_files(str(tmp_path))] == ["arrows-1", "annotations", "zz"]
+    r = Registry.standard()
+    assert r.load(str(tmp_path)) == ["line 1: no such section: nothing"]
+    assert r.by_name("goes to").short == "goes" and r.annotations == {"%": "goes"}
