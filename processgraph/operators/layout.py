@@ -34,9 +34,9 @@ def grid(placed: DataFrame, nth: int = 1, lanes: int = 1) -> DataFrame:
     """Adds x, z to (node, depth, slot): depth from 1 runs along z, slots from 1 share the lane evenly."""
     width = 2.0 / max(lanes, 1)
     n = F.count("*").over(Window.partitionBy("depth"))
-    most = F.max("depth").over(Window.partitionBy(F.lit(1)))
+    deepest = F.broadcast(placed.agg(F.max("depth").alias("__most")))
     x = (nth - 1) * width - 1.0 + width / (n + 1) * F.col("slot")
-    return placed.withColumn("x", x).withColumn("z", -1.0 + 2.0 / most * (F.col("depth") - 1))
+    return placed.withColumn("x", x).crossJoin(deepest).withColumn("z", -1.0 + 2.0 / F.col("__most") * (F.col("depth") - 1)).drop("__most")
 
 
 def cone_coordinates(paths: DataFrame, nth: int = 1, lanes: int = 1) -> DataFrame:
