@@ -69,7 +69,7 @@ def link_array(items: list[Link]) -> str:
 
 
 def parse_pointers(text: str) -> list[tuple[int, int]]:
-    return [(int(a), int(b)) for a, b in re.findall(r"\((\d+),(\d+)\)", text)]
+    return [(int(a), int(b)) for a, b in re.findall(r"\(([0-9]+),([0-9]+)\)", text)]
 
 
 def parse_appointment(text: str) -> dict | None:

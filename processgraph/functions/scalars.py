@@ -32,12 +32,12 @@ def index_to_sttype(i: Column) -> Column:
 
 
 def stindex_label(i: Column) -> Column:
-    name = F.element_at(F.array(*map(F.lit, ("EXPRESS", "CONTAINS", "LEADSTO", "NEAR", "LEADSTO", "CONTAINS", "EXPRESS"))), i.cast("int"))
+    name = F.element_at(F.array(*map(F.lit, "EXPRESS CONTAINS LEADSTO NEAR LEADSTO CONTAINS EXPRESS".split())), i.cast("int"))
     return F.concat(F.when(i < 4, "-").when(i > 4, "+").otherwise(""), name)
 
 
 def channel_name(st: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, ("Im3", "Im2", "Im1", "In0", "Il1", "Ic2", "Ie3"))), (st + 4).cast("int"))
+    return F.element_at(F.array(*map(F.lit, "Im3 Im2 Im1 In0 Il1 Ic2 Ie3".split())), (st + 4).cast("int"))
 
 
 def compile_context(labels: Column) -> Column:
@@ -114,7 +114,7 @@ def semantic_time(ts: Column) -> Column:
     """Season north and south, shift, weekday, day, month, year, hour and quarter."""
     north = F.element_at(F.array(*map(F.lit, ["N_Winter", "N_Spring", "N_Summer", "N_Autumn"])), ((F.month(ts) % 12) / 3).cast("int") + 1)
     south = F.element_at(F.array(*map(F.lit, ["S_Summer", "S_Autumn", "S_Winter", "S_Spring"])), ((F.month(ts) % 12) / 3).cast("int") + 1)
-    shift = F.element_at(F.array(*map(F.lit, ["Night", "Morning", "Afternoon", "Evening"])), (F.hour(ts) / 6).cast("int") + 1)
+    shift = F.element_at(F.array(*map(F.lit, "Night Morning Afternoon Evening".split())), (F.hour(ts) / 6).cast("int") + 1)
     quarter = F.concat(F.lit("Qu"), (F.minute(ts) / 15).cast("int") + 1)
     parts = [north, south, shift, F.date_format(ts, "EEEE"), F.concat(F.lit("Day"), F.dayofmonth(ts)), F.date_format(ts, "MMMM"), F.concat(F.lit("Yr"), F.year(ts)), F.date_format(ts, "'Hr'HH"), quarter]
     return F.concat_ws(", ", *parts)

@@ -78,7 +78,7 @@ def something_like(word: str, keywords: list[str] = KEYWORDS) -> str:
 
 
 def pointer(text: str) -> tuple[int, int] | None:
-    m = re.fullmatch(r"\((\d+),(\d+)\)", text.strip())
+    m = re.fullmatch(r"\(([0-9]+),([0-9]+)\)", text.strip())
     return (int(m[1]), int(m[2])) if m else None
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-SHIFTS = ["Night", "Morning", "Afternoon", "Evening"]
+MONTHS = "January February March April May June July August September October November December".split()
+DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+SHIFTS = "Night Morning Afternoon Evening".split()
 _NORTH = ["Winter", "Spring", "Summer", "Autumn"]
 
 

@@ -28,7 +28,7 @@ def clean(text: Column) -> Column:
 def sentences(docs: DataFrame, cleaned: bool = True) -> DataFrame:
     """(doc_id, ord, sentence): parts after a full stop, exclamation or question mark, or of lines; from 1."""
     text = clean(F.col("text")) if cleaned else F.col("text")
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[!?.])\s+|\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(parts).alias("i", "sentence")).select("doc_id", (F.col("i") + 1).alias("ord"), "sentence")
 
 
@@ -320,14 +320,14 @@ _RELATIONS = [
 def find_entities(text: str) -> list[tuple[str, str, float, int, int]]:
     """(text, kind, confidence, start, end) by passes from sure to unsure; a text is found once. Ends are exclusive, from 0."""
     out, seen = [], set()
-    starts = [0] + [m.end() for m in re.finditer(r"[.!?]\s+", text)]
+    starts = [0] + [m.end() for m in re.finditer(r"[!?.]\s+", text)]
 
     def add(key: str, kind: str, sure: float, a: int, b: int) -> None:
         if key not in seen:
             seen.add(key)
             out.append((key, kind, sure, a, b))
 
-    for m in re.finditer(r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", text):
+    for m in re.finditer(r"\b\d{4}(?:[/-]\d\d?){2}\b", text):
         add(m[0], "event", 0.9, *m.span())
     for m in re.finditer(r'"([^"]+)"', text):
         add(m[1], "concept", 0.8, *m.span())
@@ -337,9 +337,9 @@ def find_entities(text: str) -> list[tuple[str, str, float, int, int]]:
     for m in re.finditer(r"\b[A-Z][a-z]{2,}\b", text):
         if m[0].lower() not in _CALENDAR and not any(abs(m.start() - s) <= 1 for s in starts):
             add(m[0], "person", 0.6, *m.span())
-    for m in re.finditer(r"\b[a-z]+(?:tion|ment|ness)\b", text, re.I):
+    for m in re.finditer(r"\b[a-z]+(?:ment|ness|tion)\b", text, re.I):
         add(m[0].lower(), "concept", 0.5, *m.span())
-    for m in re.finditer(r"\b(?:the|a|an)\s+([a-z]\w+)\b", text, re.I):
+    for m in re.finditer(r"\b(?:an?|the)\s+([a-z]\w+)", text, re.I):
         add(m[1].lower(), "thing", 0.4, *m.span())
     return out
 

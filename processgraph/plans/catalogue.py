@@ -13,6 +13,8 @@ from processgraph.operators import context as C
 from processgraph.operators import layout, matrix, paths, search, text
 from processgraph.operators.frontier import BACKWARD, FORWARD, Limits, walk
 from processgraph.plans import views as V
+from processgraph.sources.rdf import LABEL as RDF_LABEL
+from processgraph.sources.rdf import TYPE as RDF_TYPE
 from processgraph.plans.views import CTX, EVT, GEO, GEO_NODES, ORD, SUP, USERS, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,7 +541,7 @@ def gradient_tops(spark, sf):
 
 # Text
 
-_SENT = r"""sent AS (SELECT doc_id, generate_subscripts(s, 1) AS ord, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ':' || chr(10), 'g'), '[\[\]]', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents))"""
+_SENT = r"""sent AS (SELECT doc_id, generate_subscripts(s, 1) AS ord, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ':' || chr(10), 'g'), '[\[\]]', '', 'g'), '([!?.])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents))"""
 _WORD = _SENT + r""", word AS (SELECT doc_id, ord, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM (SELECT doc_id, ord, list_filter(regexp_split_to_array(lower(sentence), '\s+'), lambda x: x <> '') AS w FROM sent))"""
 
 
@@ -621,10 +623,10 @@ def clean_html(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("text"))
 
 
-@query(r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}_])([a-z]+(?:tion|ment|ness))\b', 1))) AS text FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}_])([a-z]+(?:ment|ness|tion))\b', 1))) AS text FROM documents WHERE lang = 'en'")
 def entities_suffix(spark, sf):
     docs = read(spark, sf, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|[^\p{L}\p{N}_])([a-z]+(?:tion|ment|ness))\b"), F.lit(1)))).alias("text"))
+    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|[^\p{L}\p{N}_])([a-z]+(?:ment|ness|tion))\b"), F.lit(1)))).alias("text"))
 
 
 @query()
@@ -732,10 +734,10 @@ def _enc(c: str) -> str:
 
 
 @query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT nid, text, chapter, 'http://example.org/graph/node/' || replace(url_encode({_enc('text')}), '*', '%2A') AS uri FROM nodes WHERE chapter IN ('region', 'nation')), v AS (SELECT 'http://example.org/graph/vocab#' AS b)
-SELECT uri AS subject, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS predicate, b || 'Node' AS object FROM u, v UNION ALL SELECT uri, 'http://www.w3.org/2000/01/rdf-schema#label', text FROM u UNION ALL SELECT uri, b || 'chapter', 'http://example.org/graph/chapter/' || chapter FROM u, v
+SELECT uri AS subject, '{RDF_TYPE}' AS predicate, b || 'Node' AS object FROM u, v UNION ALL SELECT uri, '{RDF_LABEL}', text FROM u UNION ALL SELECT uri, b || 'chapter', 'http://example.org/graph/chapter/' || chapter FROM u, v
 UNION ALL SELECT a.uri, b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, c.uri FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst
-UNION ALL SELECT b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', b || 'Contains' FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst
-UNION ALL SELECT b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, 'http://www.w3.org/2000/01/rdf-schema#label', CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst""")
+UNION ALL SELECT b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, '{RDF_TYPE}', b || 'Contains' FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst
+UNION ALL SELECT b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, '{RDF_LABEL}', CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst""")
 def rdf_triples(spark, sf):
     from processgraph.sources.rdf import triples
 

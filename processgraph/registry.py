@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ZERO, TOP = 4, 7
 STTYPES = {"NEAR": 0, "LEADSTO": 1, "CONTAINS": 2, "EXPRESS": 3}
-CHANNELS = {i: c for i, c in enumerate(["Im3", "Im2", "Im1", "In0", "Il1", "Ic2", "Ie3"], 1)}
+CHANNELS = {i: c for i, c in enumerate("Im3 Im2 Im1 In0 Il1 Ic2 Ie3".split(), 1)}
 _ALIASES = {
     0: {"0", "near", "nearness", "near/similar", "nr", "similarity"},
     1: {"1", "leads to", "leads_to", "leadsto", "lt"},

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from processgraph.functions.scalars import strip
 
-SYSLOG = r"^(\w{3}\s+\d+\s+[\d:]+)\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s+(.*)$"
+SYSLOG = r"^(\w\w\w\s+[0-9]+\s+[0-9:]+)\s+([^\s]+)\s+([^\s]+?)(?:\[([0-9]+)\])?:\s\s*(.*)$"
 HEADERS = {
-    "timestamp": ["timestamp", "time", "date", "@timestamp"],
-    "message": ["message", "msg", "text", "body"],
-    "level": ["level", "severity", "loglevel"],
-    "source": ["source", "host", "hostname", "origin"],
+    "timestamp": "timestamp time date @timestamp".split(),
+    "message": "message msg text body".split(),
+    "level": "level severity loglevel".split(),
+    "source": "source host hostname origin".split(),
 }
 
 

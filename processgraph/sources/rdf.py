@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from processgraph.graph import Graph
 from processgraph.registry import Registry
 
-TYPE, LABEL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2000/01/rdf-schema#label"
+_W3 = "http://www.w3.org/"
+TYPE = _W3 + "1999/02/22-rdf-syntax-ns#type"
+LABEL = _W3 + "2000/01/rdf-schema#label"
 _KINDS = ["Near", "LeadsTo", "Contains", "Expresses"]
 
 
@@ -29,7 +31,7 @@ def uri_encode(text: str) -> str:
 
 
 def uri_decode(text: str) -> str:
-    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), text.replace("_", " ").encode())
+    raw = re.sub(rb"%([a-fA-F0-9]{2})", lambda m: bytes([int(m[1], 16)]), text.replace("_", " ").encode())
     return raw.decode("utf-8", "replace")
 
 
@@ -57,7 +59,7 @@ def triples(g: Graph, ns: Namespace = Namespace()) -> DataFrame:
 
 
 def is_uri(c: Column) -> Column:
-    return c.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://")
+    return c.rlike(r"^[A-Za-z][-+.0-9A-Za-z]*://")
 
 
 def term(c: Column) -> Column:
