@@ -6,8 +6,9 @@ log-probability by language. Over the words of a document, the best sequence of
 penalty for each switch is found by Viterbi, and runs of one language are its spans. Words without a
 letter fit every language alike. All documents of a chunk advance together, word by word.
 
-Training takes at most TRAIN_DOCS documents with a language, chosen by a hash of their ids; the bound
-is a parameter of fit(). Labelling has no bounds.
+The languages are all that any document names, by a count over the whole table. Training takes documents
+of each of them, chosen by a hash: TRAIN_DOCS in all, shared evenly, and LEAST_DOCS of each language at least,
+as far as it has them; the bound is a parameter of fit(). Labelling has no bounds.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from processgraph.llm.sample import bounded
+from processgraph.llm.sample import by_stratum
 from processgraph.llm.textnp import LOWER, SPACE, chunks, utf8, words
 
-TRAIN_DOCS, SWITCH, BUCKETS, NEVER = 3000, 12.0, 1 << 16, -60.0
+TRAIN_DOCS, LEAST_DOCS, SWITCH, BUCKETS, NEVER = 3000, 10, 12.0, 1 << 16, -60.0
 #: First code point of a range, its script; '' has no letters of its own.
 RANGES = [
     (0x0, ""), (0x41, "Latin"), (0x5B, ""), (0x61, "Latin"), (0x7B, ""), (0xC0, "Latin"), (0xD7, ""), (0xD8, "Latin"), (0xF7, ""), (0xF8, "Latin"), (0x250, "Latin"), (0x2B0, ""),
@@ -197,11 +198,21 @@ def fit_texts(texts: list[str], langs: list[str]) -> dict:
     return {"langs": names, "columns": columns, "script_of": of, "scripts": set(of.values())}
 
 
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many documents to take of each language: all of rare ones, and what these leave of `most` shared evenly, but LEAST_DOCS at least."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(LEAST_DOCS, left // (len(sizes) - k)))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> dict:
-    """A model from at most `most` documents that name their language; nulls don't count. No documents give a model of scripts alone."""
+    """A model of all languages that documents name, from about `most` of these documents; nulls don't count. No documents give a model of scripts alone."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
-    rows = rows.where("i is not null and t is not null and l is not null and l <> ''")
-    found = bounded(rows, F.col("i"), docs.count(), most).toPandas().sort_values(["i", "t"], kind="stable")
+    rows = rows.where("t is not null and l is not null and l <> ''")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    found = by_stratum(rows, "l", [F.col("i"), F.col("t")], sizes, quotas(sizes, most)).toPandas().sort_values(["i", "t"], kind="stable")
     return fit_texts(found["t"].tolist(), found["l"].tolist())
 
 

@@ -69,3 +69,21 @@ def test_edges(spark, table, edges):
     assert L.identify(table([]), MODEL).count() == 0 and L.keep_identified(table([]), MODEL).count() == 0
     nothing = L.fit(table([]))
     assert {r.lang for r in L.identify(table([(1, "текст"), (2, "")]), nothing).collect()} == {"ru", "und"}
+
+
+def test_rare_languages_of_a_large_table_are_known(spark, table):
+    """A share of 1 in 1,000, and a bound that most documents exceed."""
+    fr = "la maison et eau avec pierre où les gens pensent rien qui aurait dû être là depuis toujours".split()
+    rows = [(k, t, "en") for k, t in enumerate(texts(EN, 4000, 11))] + [(4000 + k, t, "fr") for k, t in enumerate(texts(fr, 4, 12))]
+    rows += [(5000 + k, "Это русский текст о доме и воде", "ru") for k in range(4)] + [(None, "το σπίτι και το νερό", "el")]
+    frame = table(rows + [(6000 + k, "no language is named", None) for k in range(4000)])
+    model = L.fit(frame, most=100)
+    assert model["langs"] == ["el", "en", "fr", "ru"]
+    kept = [r.doc_id for r in L.keep_identified(frame, model).where("doc_id >= 4000 and doc_id < 6000").collect()]
+    assert sorted(kept) == [4000, 4001, 4002, 4003, 5000, 5001, 5002, 5003]
+    assert {r.lang for r in L.identify(frame.where("lang = 'fr'"), model).collect()} == {"fr"}
+
+
+def test_sample_is_bounded_by_language():
+    assert L.quotas({"en": 10**7, "de": 10**6, "el": 3}, 3000) == {"el": 3, "de": 1498, "en": 1499}
+    assert sum(L.quotas({f"l{k}": 5 + k for k in range(1000)}, 3000).values()) <= 1000 * L.LEAST_DOCS
