@@ -23,6 +23,7 @@ KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET"]
 LABELERS, LEAST, ROUNDS = 4, 0.5, 200
 PRIOR, _BELIEF = 0.1, np.array([[0.5, 0.3, 0.2], [0.002, 0.1, 0.898]])
 _NUMBER = re.compile(r"[+(\d](?:[\d()]|[ .\-](?=[\d(])){6,}")
+_DIGITS, _UUID = re.compile(r"\d*"), re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _RUN = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_\-]{12,}={0,2})")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}(?![A-Za-z0-9])")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}|(?:ghp|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{16,}")
@@ -62,8 +63,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", at + 1)
     for m in _NUMBER.finditer(text):
         s, e = m.start(), m.end()
-        if s and (text[s - 1].isalnum() or text[s - 1] in "._"):
-            continue
+        if s and (text[s - 1].isalnum() or text[s - 1] == "_"):
+            if any(u.start() <= s < u.end() for u in _UUID.finditer(text, max(0, s - 36), s + 36)):
+                continue
+            s = _DIGITS.match(text, s).end()  # these belong to the word before; the rest of the run doesn't
         found += _numbers(text, s, e)
     for pattern in (_RUN, _HEX, _KEY) if any(x in text for x in _MARKS) else (_RUN, _HEX):
         for m in pattern.finditer(text):

@@ -63,6 +63,16 @@ def test_candidates_cover_and_dont_overlap():
     assert P.candidates("no numbers 12 here, section 3.4.") == []
 
 
+def test_numbers_after_a_word_that_ends_in_a_digit():
+    cases = {
+        "IPv4 192.168.1.10": ("192.168.1.10", "IP"), "user7 4111 1111 1111 1111": ("4111 1111 1111 1111", "CARD"), "B12 555-867-5309": ("555-867-5309", "PHONE"),
+        "me.555-867-5309": ("555-867-5309", "PHONE"), "id_9 (212) 555-1234": ("(212) 555-1234", "PHONE"),
+    }
+    for text, want in cases.items():
+        assert [(text[s:e], k) for s, e, k in P.candidates(text)] == [want], text
+    assert P.candidates("b4644348398010899 x_5558675309 550e8400-1234-5678-9012-446655440000") == []
+
+
 def test_edges(spark, table, edges):
     frame = table(edges)
     model = P.fit(frame)
