@@ -10,8 +10,12 @@ Its size follows the number of distinct n-grams, BITS for each stored pair. Byte
 order saturate: their number grows far slower than the corpus. It is checked against LIMIT_MB before it
 is broadcast.
 
+Over the bytes stand n-grams of words, up to WORDS, whose number does grow with the corpus; all of them are
+counted and stored. Tasks send hashes of 52 bits in blocks, and each bucket of hashes is one part of a second filter.
+
 A byte's probability after its context h is (c(hw) + MASS * P(w | shorter h)) / (c(h) + MASS), from 1/256
-up; a count read as smaller for the context than for what continues it is raised to it.
+up; a count read as smaller for the context than for what continues it is raised to it. A word's probability starts from that of its bytes
+and goes on in the same way over the words before it; white space has the probability of its bytes.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from processgraph.lineage import cut
-from processgraph.llm.textnp import U64, chunks, mix, utf8
+from processgraph.llm.textnp import U64, chunks, mix, utf8, word_hashes, words
 
 ORDER, BASE, HASHES, BITS, SEGMENT, MASS, LIMIT_MB = 5, 1.5, 6, 14, 1 << 20, 4.0, 1024
+WORDS, BUCKET_BITS, KEY_BITS = 3, 12, 40
 
 
 def codes(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -67,6 +72,18 @@ def tag(code: np.ndarray, n: int) -> np.ndarray:
     return (code & U64((1 << (8 * n)) - 1)) | U64(n << 56)  # order 0 is the key 0: how many bytes there are
 
 
+def word_keys(buf: np.ndarray, off: np.ndarray, order: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and bounds of the words, and (order, words) the keys of the n-grams of words that end at each; 0 where a text has no n words yet."""
+    starts, ends, bounds = words(buf, off)
+    h = word_hashes(buf, starts, ends, fold=False)
+    place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = np.zeros((order, len(h)), U64)
+    for n in range(order):
+        out[n, n:] = mix((out[n - 1, n - 1 : -1] if n > 1 else out[0, :-1]) * U64(0xD6E8FEB86659FD93) + h[n:]) if n else mix(h ^ U64(0xA0761D6478BD642F))
+        out[n] = np.where(place < n, U64(0), out[n] >> U64(64 - BUCKET_BITS - KEY_BITS) | U64(1 if n == 0 else 0))
+    return starts, ends, bounds, out
+
+
 class Filter:
     """The filter's segments, one after the other."""
 
@@ -99,6 +116,106 @@ def segment_bits(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+class WordFilter:
+    """A filter of word n-grams: bucket b's bits are bytes at[b] to at[b + 1]. total is the number of words."""
+
+    def __init__(self, bits: np.ndarray, at: np.ndarray, total: int, order: int = WORDS, base: float = BASE):
+        self.bits, self.at, self.total, self.order, self.base = bits, at, total, order, base
+
+    def counts(self, key: np.ndarray) -> np.ndarray:
+        bucket = (key >> U64(KEY_BITS)).astype(np.int64)
+        start, size = self.at[bucket] * 8, ((self.at[bucket + 1] - self.at[bucket]) * 8).astype(U64)
+        out, live = np.zeros(len(key), np.int64), np.flatnonzero(size > 0)
+        while len(live):
+            h, step = _probes(key[live], out[live] + 1)
+            for i in range(HASHES):
+                p = start[live] + ((h + U64(i) * step) % size[live]).astype(np.int64)
+                hit = (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                live, h, step = live[hit], h[hit], step[hit]
+            out[live] += 1
+        return size_of(out, self.base)
+
+
+def _count_words(order: int):
+    """Each chunk's n-grams in blocks: for each bucket the low KEY_BITS of the keys, and their counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            for i, j in chunks(off, 1 << 22):
+                buf = data[off[i] : off[j]]
+                _, _, bounds, keys = word_keys(buf, off[i : j + 1] - off[i], order)
+                key, n = np.unique(keys[keys > 0], return_counts=True)
+                if not len(key):
+                    continue
+                bucket = (key >> U64(KEY_BITS)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                last = np.append(first[1:], len(key))
+                low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8])
+                n = n.astype(np.uint32)
+                rows = [(low[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary()), pa.array([int(bounds[-1])] + [0] * (len(rows) - 1), pa.int64())], ["bucket", "keys", "counts", "words"])
+
+    return run
+
+
+def merged(bucket: int, keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a bucket's blocks and their counts over all of them."""
+    low = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BITS // 8)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, : KEY_BITS // 8] = low
+    key, n = wide.view(U64).ravel() | U64(bucket << KEY_BITS), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+    rank = np.argsort(key, kind="stable")
+    key, n = key[rank], n[rank]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
+
+
+def bucket_bits(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    bits = np.zeros(-(-int(levels.sum()) * BITS // 64) * 64, np.uint8)
+    for j in range(1, int(levels.max(initial=0)) + 1):
+        h, step = _probes(key[levels >= j], j)
+        for i in range(HASHES):
+            bits[((h + U64(i) * step) % U64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def fit_words(docs: DataFrame, text_col: str = "text", order: int = WORDS, base: float = BASE) -> WordFilter:
+    """The filter of the n-grams of 1 to `order` words of all texts."""
+
+    def build(table: pa.Table) -> pa.Table:
+        key, n = merged(table.column("bucket")[0].as_py(), table.column("keys").to_pylist(), table.column("counts").to_pylist())
+        total = sum(table.column("words").to_pylist())
+        return pa.table({"bucket": table.column("bucket")[:1], "words": pa.array([total]), "bits": pa.array([bucket_bits(key, level(n, base)).tobytes()], pa.binary())})
+
+    blocks = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words(order), "bucket long, keys binary, counts binary, words long")
+    built = cut(blocks.groupBy("bucket").applyInArrow(build, "bucket long, words long, bits binary"))
+    sizes = built.select("bucket", "words", F.length("bits").alias("n")).collect()
+    at = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
+    for r in sizes:
+        at[r["bucket"] + 1] = r["n"]
+    at = np.cumsum(at)
+    if at[-1] / 1e6 > LIMIT_MB:
+        raise ValueError(f"the filter of words would take {at[-1] / 1e6:.0f} MB on every worker; the limit is {LIMIT_MB}")
+    bits = np.zeros(at[-1], np.uint8)
+    for r in built.select("bucket", "bits").toLocalIterator():
+        bits[at[r["bucket"]] : at[r["bucket"] + 1]] = np.frombuffer(r["bits"], np.uint8)
+    return WordFilter(bits, at, sum(r["words"] for r in sizes), order, base)
+
+
+def word_log_probability(spelled: np.ndarray, keys: np.ndarray, place: np.ndarray, model: WordFilter) -> np.ndarray:
+    """ln P of each word after the words before it, from ln P of its bytes. place is its place in its text."""
+    p, before = spelled, np.full(len(spelled), float(model.total))
+    for n in range(model.order):
+        own = np.zeros(len(p))
+        real = place >= n
+        own[real] = model.counts(keys[n][real])
+        with np.errstate(divide="ignore"):
+            p = np.where(real, np.logaddexp(np.log(own), np.log(MASS) + p) - np.log(np.maximum(before, own) + MASS), p)
+        before = np.concatenate([[0.0], own[:-1]])
+    return p
+
+
 def log_probability(code: np.ndarray, count_of, order: int = ORDER) -> np.ndarray:
     """ln P of the last byte of each n-gram after the bytes before it. count_of gives the counts of keys."""
 
@@ -191,18 +308,19 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, base: float
     return Filter(bits, segments, base)
 
 
-def score(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, words: WordFilter | None = None) -> DataFrame:
     """(doc_id, n_bytes, log_prob, perplexity), one row for each row of docs, in one pass without a shuffle.
 
-    log_prob is the sum of ln P over the text's bytes, perplexity exp of the mean of -ln P. A null or empty
+    log_prob is the sum of ln P over the text's bytes, or with `words` over its words and white space, perplexity exp of the mean of -ln P. A null or empty
     text has 0 bytes, log_prob 0 and no perplexity; texts of any length are read whole. Repeated rows give
     repeated rows, null ids stay null, no rows give no rows, other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.bits, model.segments, model.base))
+    sparse = words and docs.sparkSession.sparkContext.broadcast((words.bits, words.at, words.total, words.order, words.base))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(*held.value)
+        own, longer = Filter(*held.value), WordFilter(*sparse.value) if sparse else None
         known, value = np.zeros(0, U64), np.zeros(0)
         for batch in batches:
             data, off = utf8(batch.column(1))
@@ -217,6 +335,13 @@ def score(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
                     known, value = known[rank], value[rank]
                 run_sum = np.concatenate([[0], np.cumsum(value[np.searchsorted(known, code)][inverse])]) if len(code) else np.zeros(1)
                 at = off[i : j + 1] - off[i]
+                if longer:
+                    starts, ends, bounds, keys = word_keys(data[off[i] : off[j]], at, longer.order)
+                    spelled = run_sum[ends] - run_sum[starts]
+                    place = np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds))
+                    gain = np.zeros(len(run_sum))
+                    gain[ends] = word_log_probability(spelled, keys, place, longer) - spelled
+                    run_sum += np.cumsum(gain)
                 total, n = run_sum[at[1:]] - run_sum[at[:-1]], np.diff(at)
                 perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(total), perplexity], ["doc_id", "n_bytes", "log_prob", "perplexity"])

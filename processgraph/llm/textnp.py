@@ -84,11 +84,11 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by differences of one running polynomial."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, without its case if fold, by differences of one running polynomial."""
     there, back = _power(len(buf) + 1)
     run = np.zeros(len(buf) + 1, U64)
-    term = LOWER[buf].astype(U64)
+    term = (LOWER[buf] if fold else buf).astype(U64)
     term += U64(1)
     term *= there[: len(buf)]
     np.cumsum(term, out=run[1:])

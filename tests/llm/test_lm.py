@@ -79,3 +79,28 @@ def test_edges(spark, table, edges):
     assert M.score(table([]), model).count() == 0
     empty = M.fit(table([]))
     assert abs(M.score(table([(1, "ab")]), empty).first().perplexity - 256) < 1e-6
+
+
+def test_words_before_a_word_count(spark, table, prose):
+    """Counts of word n-grams against brute force, and a score that word order and repeated passages change."""
+    texts = [prose(k, 200) for k in range(20)] + ["", None, "é  ab\n"]
+    frame = table(list(enumerate(texts)))
+    longer = M.fit_words(frame)
+    want = Counter(tuple(w[k : k + n]) for w in ((t or "").split() for t in texts) for n in range(1, M.WORDS + 1) for k in range(len(w) - n + 1))
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    keys = M.word_keys(data, np.array([0, len(data)]))[3]
+    w = texts[0].split()
+    for n in range(M.WORDS):
+        got = longer.counts(keys[n][n:])
+        exact = M.size_of(M.level(np.array([want[tuple(w[k - n : k + 1])] for k in range(n, len(w))])))
+        assert (got >= exact).all() and (got > exact).mean() < 0.05
+    assert longer.total == sum(len((t or "").split()) for t in texts)
+    model = M.fit(frame)
+    turned = " ".join(reversed(w))
+    own, other = (M.score(table([(1, t)]), model, words=longer).first() for t in (texts[0], turned))
+    short, turned_short = (M.score(table([(1, t)]), model).first() for t in (texts[0], turned))
+    assert own.n_bytes == other.n_bytes == len(data)
+    assert own.log_prob - other.log_prob > 2 * abs(short.log_prob - turned_short.log_prob) + 50
+    assert M.score(table([(1, None), (2, "")]), model, words=longer).where("log_prob = 0 and perplexity is null").count() == 2
+    nothing = M.fit_words(table([]))
+    assert nothing.total == 0 and M.score(table([(1, "ab")]), model, words=nothing).count() == 1
