@@ -1,11 +1,18 @@
 """Byte-level BPE by DuckDB inside each partition.
 
 The texts of a partition are cut into words by the vocabulary's pattern; distinct words are encoded once
-each. For these, rows (word, position, token) start from the words' bytes. A recursive query joins
-neighbouring rows with the merge table, finds each word's leftmost pair of least rank, contracts it, and
-goes on with the words that still had one until none has. Decoding joins the tokens with their bytes and
-aggregates them in order. Words longer than LONG bytes, for which one contraction a round would take
-thousands of rounds, are contracted in the same order from a heap.
+each. Rows (word, position, token) start from the words' bytes. A recursive query joins neighbouring rows
+with the merge table, contracts, and goes on with the rows of the words that still had a pair until none
+has. Decoding joins the tokens with their bytes and aggregates them in order.
+
+The result is that of contracting each word's leftmost pair of least rank, one after the other. Each round
+contracts that pair, the further pairs of that rank as far as none makes a pair of less rank, and all pairs
+that would be contracted later whatever happens around them: a
+pair is sure of it if no token of a less rank can come to be across its left or right border, neither now
+nor after the contraction. Two tables by pairs of neighbours say so; they are made from the vocabulary. Of
+a run of equal tokens, every second pair is contracted at once. So a word of any length takes few rounds.
+Words are cut first between bytes that no token has side by side, since no contraction can join these.
+DuckDB keeps to MEMORY and spills what is beyond to the folder that Spark gives its workers for spills.
 
 The vocabulary is a file of base64 tokens and ranks; two tokens merge if their bytes together are a token,
 and its number is the pair's rank. It is read by the driver and broadcast, a few MB whatever the corpus.
@@ -14,7 +21,7 @@ and its number is the pair's rank. It is read by the driver and broadcast, a few
 from __future__ import annotations
 
 import base64
-import heapq
+import os
 import re
 import sys
 import unicodedata
@@ -26,18 +33,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY, CHUNK, BATCH, CACHE, LONG = "/opt/tokenizers/byte_bpe_50k.tiktoken", 8 << 20, 40_000, 1_500_000, 160
+from processgraph.llm.textnp import chunks
+
+#: BATCH: bytes of words a query starts from; a word of more is a batch by itself. ROWS: rows that the rounds of one query may add up to.
+VOCABULARY, CHUNK, BATCH, ROWS, CACHE, MEMORY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 8 << 20, 1 << 19, 6_000_000, 16 << 20, "700MB"
 _ENCODE = """
-WITH RECURSIVE step(i, w, toks) AS (
-  SELECT 0, w, list(tok ORDER BY pos) FROM start GROUP BY w
-  UNION ALL
-  SELECT s.i + 1, s.w, s.toks[:b.key % 65536 - 1] || [(b.key // 65536)::INTEGER] || s.toks[b.key % 65536 + 2:]
-  FROM step s JOIN (
-    SELECT w, min(m.merged::BIGINT * 65536 + pos) AS key
-    FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks[2:], 1) AS pos FROM step) p
-    JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY w) b ON b.w = s.w
+WITH RECURSIVE step(i, w, pos, tok) AS (
+  SELECT 0, w, pos, tok FROM start
+  UNION ALL (
+  WITH neighbour AS (
+    SELECT i, w, pos, tok, lead(tok) OVER (ORDER BY pos) AS b, lead(pos) OVER (ORDER BY pos) AS after, lead(w) OVER (ORDER BY pos) AS w1 FROM step
+  ), pair AS (
+    SELECT t.*, m.merged AS y FROM neighbour t LEFT JOIN merges m ON m.pair = CASE WHEN t.w1 = t.w THEN t.tok::BIGINT * 2097152 + t.b END
+  ), around AS (
+    SELECT i, w, pos, tok, b, after, y,
+      lag(w) OVER o = w AS inside, lag(tok) OVER o AS p, lag(y) OVER o AS y0, lead(y) OVER o AS y1,
+      lead(w1) OVER o = w AS goes, lead(b) OVER o AS n, row_number() OVER o AS nth
+    FROM pair WINDOW o AS (ORDER BY pos)
+  ), run AS (
+    SELECT pos, nth - max(CASE WHEN NOT coalesce(inside AND p = tok, false) THEN nth END) OVER (ORDER BY pos) AS place
+    FROM around WHERE tok = b AND y IS NOT NULL
+  ), placed AS (
+    SELECT a.*, r.place, a.nth - r.place AS run, coalesce(y < y0 OR NOT inside, true) OR r.place > 0 AND r.place % 2 = 0 AS apart
+    FROM around a LEFT JOIN run r ON r.pos = a.pos WHERE y IS NOT NULL
+  ), low AS (
+    SELECT * FROM placed WHERE apart AND coalesce(y <= y0 OR NOT inside, true) AND coalesce(y <= y1 OR NOT goes, true)
+  ), sure AS (
+    SELECT l.pos, l.after, l.y, l.place, l.run FROM low l
+    LEFT JOIN lefts a ON a.pair = CASE WHEN l.inside THEN l.p::BIGINT * 2097152 + l.tok END
+    LEFT JOIN lefts c ON c.pair = CASE WHEN l.inside THEN l.p::BIGINT * 2097152 + l.y END
+    LEFT JOIN rights d ON d.pair = CASE WHEN l.goes THEN l.b::BIGINT * 2097152 + l.n END
+    LEFT JOIN rights e ON e.pair = CASE WHEN l.goes THEN l.y::BIGINT * 2097152 + l.n END
+    WHERE (a.least IS NULL OR a.least > l.y OR a.least = l.y AND l.place > 0)
+      AND (c.least IS NULL OR c.least > l.y) AND (d.least IS NULL OR d.least >= l.y) AND (e.least IS NULL OR e.least > l.y)
+  ), least AS (
+    SELECT w, min(y) AS y FROM pair WHERE y IS NOT NULL GROUP BY w
+  ), next AS (
+    SELECT o.w, o.pos, o.after, o.y, coalesce(a.merged < o.y, false) OR coalesce(b.merged < o.y, false) OR coalesce(c.merged < o.y, false) AS stops
+    FROM placed o JOIN least g ON g.w = o.w AND g.y = o.y
+    LEFT JOIN merges a ON a.pair = CASE WHEN o.inside THEN o.p::BIGINT * 2097152 + o.y END
+    LEFT JOIN merges b ON b.pair = CASE WHEN o.goes THEN o.y::BIGINT * 2097152 + o.n END
+    LEFT JOIN merges c ON c.pair = o.y::BIGINT * 2097152 + o.y
+    WHERE o.apart
+  ), chosen AS (
+    SELECT pos, after, y FROM sure WHERE place IS NULL OR place = 0 OR run IN (SELECT run FROM sure WHERE place = 0)
+    UNION SELECT n.pos, n.after, n.y FROM next n LEFT JOIN (SELECT w, min(pos) AS stop FROM next WHERE stops GROUP BY w) z ON z.w = n.w WHERE z.stop IS NULL OR n.pos <= z.stop
+  )
+  SELECT t.i + 1, t.w, t.pos, coalesce(c.y, t.tok)
+  FROM step t LEFT JOIN chosen c ON c.pos = t.pos
+  WHERE t.i < $rounds AND t.w IN (SELECT w FROM least) AND t.pos NOT IN (SELECT after FROM chosen)
+  )
 )
-SELECT w, unnest(toks) AS tok FROM (SELECT w, arg_max(toks, i) AS toks FROM step GROUP BY w ORDER BY w)
+SELECT s.w, s.pos, s.tok, s.i FROM step s JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) z ON z.w = s.w AND z.i = s.i ORDER BY s.pos
 """
 _DECODE = "SELECT r, string_agg(hex, '' ORDER BY pos) AS hex FROM toks JOIN vocabulary USING (tok) GROUP BY r ORDER BY r"
 
@@ -81,47 +128,38 @@ def cut_words(text: str | None) -> list[str]:
 
 
 def load(path: str = VOCABULARY) -> dict:
-    """The tokens, and all pairs of tokens that merge, as arrays."""
+    """The tokens, all pairs of tokens that merge, and what can come to be across a border, as arrays.
+
+    lefts has for a pair (s, b) the least rank of a token T + b whose T is a token that ends with s; rights for (a, s) that
+    of a token a + T whose T begins with s.
+    """
     ranks = {}
     with open(path, "rb") as lines:
         for line in lines:
             if line.strip():
                 token, rank = line.split()
                 ranks[base64.b64decode(token)] = int(rank)
-    left, right, merged = [], [], []
-    for token, rank in ranks.items():
+    merges: dict[int, int] = {}
+    lefts: dict[int, int] = {}
+    rights: dict[int, int] = {}
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
         for k in range(1, len(token)):
-            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            head, tail = token[:k], token[k:]
+            a, b = ranks.get(head), ranks.get(tail)
             if a is not None and b is not None:
-                left.append(a)
-                right.append(b)
-                merged.append(rank)
+                merges[(a << 21) + b] = rank
+                for j in range(k):
+                    if (s := ranks.get(head[j:])) is not None:
+                        lefts.setdefault((s << 21) + b, rank)
+                for j in range(1, len(tail) + 1):
+                    if (s := ranks.get(tail[:j])) is not None:
+                        rights.setdefault((a << 21) + s, rank)
+    arrays = {k: (np.fromiter(d.keys(), np.int64, len(d)), np.fromiter(d.values(), np.int32, len(d))) for k, d in (("merges", merges), ("lefts", lefts), ("rights", rights))}
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return {"tokens": ranks, "l": np.array(left, np.int32), "r": np.array(right, np.int32), "merged": np.array(merged, np.int32), "single": single}
-
-
-def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The tokens of one word: leftmost pair of least rank first, from a heap of pairs that may be out of date."""
-    n = len(word)
-    start, end = list(range(n)), list(range(1, n + 1))
-    nxt, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(ranks[word[k : k + 2]], k, k + 1, k + 2) for k in range(n - 1) if word[k : k + 2] in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, a, b, to = heapq.heappop(heap)
-        if not alive[a] or nxt[a] != b or b >= n or not alive[b] or end[b] != to:
-            continue
-        end[a], alive[b], nxt[a] = end[b], False, nxt[b]
-        if nxt[a] < n:
-            prev[nxt[a]] = a
-            pair = word[start[a] : end[nxt[a]]]
-            if pair in ranks:
-                heapq.heappush(heap, (ranks[pair], a, nxt[a], end[nxt[a]]))
-        if prev[a] >= 0:
-            pair = word[start[prev[a]] : end[a]]
-            if pair in ranks:
-                heapq.heappush(heap, (ranks[pair], prev[a], a, end[a]))
-    return [ranks[word[start[k] : end[k]]] for k in range(n) if alive[k]]
+    beside = np.zeros((256, 256), bool)
+    for token in ranks:
+        beside[list(token[:-1]), list(token[1:])] = True
+    return {"tokens": ranks, "single": single, "beside": beside, **arrays}
 
 
 class Coder:
@@ -129,45 +167,62 @@ class Coder:
 
     def __init__(self, vocabulary: dict):
         self.v = vocabulary
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
-        pairs = pa.table({k: vocabulary[k] for k in ("l", "r", "merged")})  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
+        spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
+        for name, value in (("merges", "merged"), ("lefts", "least"), ("rights", "least")):
+            given = pa.table({"pair": vocabulary[name][0], value: vocabulary[name][1]})  # noqa: F841
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         tokens = pa.table({"tok": pa.array(list(vocabulary["tokens"].values()), pa.int32()), "hex": [t.hex() for t in vocabulary["tokens"]]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.ids, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
 
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the words, one after the other, and how many each has.
+
+        A query stops after as many rounds as keep its rows within ROWS, but one at least; words that could go on then start
+        another from where they are.
+        """
+        n = np.array([len(x) for x in words])
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        first = np.zeros(len(flat), bool)
+        first[np.cumsum(n)[:-1]] = True
+        first[1:] |= ~self.v["beside"][flat[:-1], flat[1:]]
+        w, tok, pos = np.cumsum(first, dtype=np.int32), self.v["single"][flat], np.arange(len(flat), dtype=np.int64)
+        done = [(pos[:0], tok[:0])]
+        while len(w):
+            rounds = max(1, ROWS // len(w))
+            start = pa.table({"w": w, "pos": pos, "tok": tok})  # noqa: F841
+            got = self.db.execute(_ENCODE, {"rounds": rounds}).fetchnumpy()
+            open_ = np.asarray(got["i"]) >= rounds
+            w, pos, tok = (np.asarray(got[k]) for k in ("w", "pos", "tok"))
+            done.append((pos[~open_], tok[~open_]))
+            w, pos, tok = w[open_], pos[open_], tok[open_]
+        pos, tok = (np.concatenate(x) for x in zip(*done))
+        rank = np.argsort(pos)
+        return tok[rank], np.diff(np.searchsorted(pos[rank], np.concatenate([[0], np.cumsum(n)])))
+
     def learn(self, words: list[str]) -> None:
         """Encodes words that aren't known yet."""
-        for b in range(0, len(words), BATCH):
-            part = words[b : b + BATCH]
-            raw = [w.encode("utf-8", "surrogatepass") for w in part]
-            out: list[list[int] | np.ndarray] = [[]] * len(part)
-            short = [k for k, x in enumerate(raw) if len(x) <= LONG]
-            for k in set(range(len(part))) - set(short):
-                out[k] = contract(raw[k], self.v["tokens"])
-            n = np.array([len(raw[k]) for k in short])
-            flat = np.frombuffer(b"".join(raw[k] for k in short), np.uint8)
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            start = pa.table({"w": np.repeat(np.arange(len(short), dtype=np.int32), n), "pos": at.astype(np.int32), "tok": self.v["single"][flat]})  # noqa: F841
-            got = self.db.execute(_ENCODE).fetchnumpy()
-            edge = np.searchsorted(got["w"], np.arange(len(short) + 1))
-            tok = np.asarray(got["tok"], np.int32)
-            for j, k in enumerate(short):
-                out[k] = tok[edge[j] : edge[j + 1]]
-            for w in part:
-                self.index[w] = len(self.index)
-            self.sizes.append(np.array([len(x) for x in out], np.int64))
-            self.ids.append(np.concatenate([np.asarray(x, np.int32) for x in out]))
+        raw = [x.encode("utf-8", "surrogatepass") for x in words]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        for i, j in chunks(off, BATCH):
+            ids, sizes = self.contract(raw[i:j])
+            self.ids.append(ids)
+            self.sizes.append(sizes)
+        for x in words:
+            self.index[x] = len(self.index)
+        self.held += int(off[-1])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens one after the other, and the n + 1 bounds of the texts."""
         cut_up = [cut_words(t) for t in texts]
         new = dict.fromkeys(w for ws in cut_up for w in ws if w not in self.index)
-        if len(self.index) + len(new) > CACHE:
+        if self.held > CACHE:
             self.forget()
             new = dict.fromkeys(w for ws in cut_up for w in ws)
         self.learn(list(new))

@@ -16,16 +16,46 @@ def test_same_as_a_known_encoder(spark, table):
         assert got[k].ids == own.encode_ordinary(t) and got[k].exact and got[k].n_tokens == len(got[k].ids)
 
 
-def test_heap_and_query_contract_alike():
-    v = B.load()
-    words = [" international", "ababababab", "aaaaaaaaaaaaa", "Übergrößenträger", "0000111"]
-    coder = B.Coder(v)
-    coder.learn(words)
-    sizes, ids = [int(n) for s in coder.sizes for n in s], [int(t) for p in coder.ids for t in p]
-    at = 0
-    for w, n in zip(words, sizes):
-        assert ids[at : at + n] == B.contract(w.encode(), v["tokens"])
-        at += n
+def _known():
+    tiktoken = pytest.importorskip("tiktoken")
+    return tiktoken.Encoding("word", pat_str=r"[\s\S]+", mergeable_ranks=B.load()["tokens"], special_tokens={})
+
+
+def _contracted(words):
+    ids, sizes = B.Coder(B.load()).contract([w.encode() for w in words])
+    to = [0, *sizes.cumsum()]
+    return [list(ids[a:b]) for a, b in zip(to, to[1:])]
+
+
+def test_contractions_of_one_round_commute():
+    import random
+
+    r, known = random.Random(5), _known()
+    tokens = [t.decode() for t in B.load()["tokens"] if all(32 <= b < 127 for b in t)]
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    words += ["".join(r.choice(tokens) for _ in range(r.randint(1, 8))) for _ in range(1500)]
+    words += ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 4))) * r.randint(1, 40) + r.choice(["", "a", "x"]) for _ in range(1500)]
+    words = list(dict.fromkeys(words))
+    assert _contracted(words) == [known.encode_ordinary(w) for w in words]
+
+
+def test_many_and_very_long_words():
+    import numpy as np
+
+    r, known = np.random.default_rng(1), _known()
+    words = [bytes(x).decode() for x in r.integers(97, 123, (4000, 150)).astype(np.uint8)]
+    assert _contracted(words) == [known.encode_ordinary(w) for w in words]
+    for w in (bytes(r.integers(97, 123, 1_000_000).astype(np.uint8)).decode(), "na" * 200_000):
+        (ids,) = _contracted([w])
+        assert b"".join(known.decode_single_token_bytes(t) for t in ids) == w.encode()
+        assert ids[:2000] == known.encode_ordinary(w[:20_000])[:2000]
+
+
+def test_rounds_continue_where_a_query_stopped(monkeypatch):
+    known = _known()
+    monkeypatch.setattr(B, "ROWS", 1)
+    words = [" international", "ababababab", "aaaaaaaaaaaaa", "0000111", "", "x"]
+    assert _contracted(words) == [known.encode_ordinary(w) if w else [] for w in words]
 
 
 def test_edges_and_round_trip(spark, table, edges):
