@@ -12,7 +12,8 @@ pair is sure of it if no token of a less rank can come to be across its left or
 nor after the contraction. Two tables by pairs of neighbours say so; they are made from the vocabulary. Of
 a run of equal tokens, every second pair is contracted at once. So a word of any length takes few rounds.
 Words are cut first between bytes that no token has side by side, since no contraction can join these.
-DuckDB keeps to MEMORY and spills what is beyond to the folder that Spark gives its workers for spills.
+Rows keep the order of their positions from round to round, so that neighbours need no sorting; the query
+raises an error if they ever didn't. DuckDB keeps to MEMORY and spills what is beyond to the folder that Spark gives its workers for spills.
 
 The vocabulary is a file of base64 tokens and ranks; two tokens merge if their bytes together are a token,
 and its number is the pair's rank. It is read by the driver and broadcast, a few MB whatever the corpus.
@@ -26,9 +27,11 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,20 +45,21 @@ WITH RECURSIVE step(i, w, pos, tok) AS (
   SELECT 0, w, pos, tok FROM start
   UNION ALL (
   WITH neighbour AS (
-    SELECT i, w, pos, tok, lead(tok) OVER (ORDER BY pos) AS b, lead(pos) OVER (ORDER BY pos) AS after, lead(w) OVER (ORDER BY pos) AS w1 FROM step
+    SELECT i, w, pos, tok, lead(tok) OVER () AS b, lead(pos) OVER () AS after, lead(w) OVER () AS w1 FROM step
   ), pair AS (
     SELECT t.*, m.merged AS y FROM neighbour t LEFT JOIN merges m ON m.pair = CASE WHEN t.w1 = t.w THEN t.tok::BIGINT * 2097152 + t.b END
   ), around AS (
     SELECT i, w, pos, tok, b, after, y,
       lag(w) OVER o = w AS inside, lag(tok) OVER o AS p, lag(y) OVER o AS y0, lead(y) OVER o AS y1,
-      lead(w1) OVER o = w AS goes, lead(b) OVER o AS n, row_number() OVER o AS nth
-    FROM pair WINDOW o AS (ORDER BY pos)
+      lead(w1) OVER o = w AS goes, lead(b) OVER o AS n, row_number() OVER o AS nth,
+      CASE WHEN after < pos OR lead(pos) OVER o <> after THEN error('rows out of order') END AS wrong
+    FROM pair WINDOW o AS ()
   ), run AS (
     SELECT pos, nth - max(CASE WHEN NOT coalesce(inside AND p = tok, false) THEN nth END) OVER (ORDER BY pos) AS place
     FROM around WHERE tok = b AND y IS NOT NULL
   ), placed AS (
     SELECT a.*, r.place, a.nth - r.place AS run, coalesce(y < y0 OR NOT inside, true) OR r.place > 0 AND r.place % 2 = 0 AS apart
-    FROM around a LEFT JOIN run r ON r.pos = a.pos WHERE y IS NOT NULL
+    FROM around a LEFT JOIN run r ON r.pos = a.pos WHERE y IS NOT NULL AND wrong IS NULL
   ), low AS (
     SELECT * FROM placed WHERE apart AND coalesce(y <= y0 OR NOT inside, true) AND coalesce(y <= y1 OR NOT goes, true)
   ), sure AS (
@@ -169,6 +173,7 @@ class Coder:
         self.v = vocabulary
         spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
+        self.db.execute("SET disabled_optimizers = 'join_order,build_side_probe_side'")
         for name, value in (("merges", "merged"), ("lefts", "least"), ("rights", "least")):
             given = pa.table({"pair": vocabulary[name][0], value: vocabulary[name][1]})  # noqa: F841
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -221,19 +226,17 @@ class Coder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens one after the other, and the n + 1 bounds of the texts."""
         cut_up = [cut_words(t) for t in texts]
-        new = dict.fromkeys(w for ws in cut_up for w in ws if w not in self.index)
+        code, words = pd.factorize(np.fromiter(chain.from_iterable(cut_up), object, sum(map(len, cut_up))))
         if self.held > CACHE:
             self.forget()
-            new = dict.fromkeys(w for ws in cut_up for w in ws)
-        self.learn(list(new))
+        self.learn([w for w in words if w not in self.index])
         self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
         ids, size = self.ids[0], self.sizes[0]
         begin = np.concatenate([[0], np.cumsum(size)])
-        index = self.index
-        words = np.fromiter((index[w] for ws in cut_up for w in ws), np.int64, sum(map(len, cut_up)))
-        n = size[words]
+        word = np.fromiter((self.index[w] for w in words), np.int64, len(words))[code]
+        n = size[word]
         to = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.arange(to[-1]) + np.repeat(begin[words] - to[:-1], n)]
+        flat = ids[np.arange(to[-1]) + np.repeat(begin[word] - to[:-1], n)]
         return flat, to[np.concatenate([[0], np.cumsum([len(ws) for ws in cut_up])])]
 
     def decode(self, flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -258,10 +261,10 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, check: bool = True) -> DataFrame:
     """(doc_id, ids, n_tokens, exact), one row for each row of docs, in one pass without a shuffle.
 
-    exact says whether decoding the ids gives the text again. A null text has null ids and null exact, an
+    exact says whether decoding the ids gives the text again, and is null without `check`. A null text has null ids and null exact, an
     empty one none and true; texts of any length are read whole. Repeated rows give repeated rows, null
     ids stay null, no rows give no rows, other columns are not read. Of pairs of one rank the leftmost
     is contracted first.
@@ -276,10 +279,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             for i, j in _parts(texts):
                 own = texts[i:j]
                 flat, bounds = coder.encode(own)
-                back = coder.decode(flat, bounds)
+                back = coder.decode(flat, bounds) if check else [None] * len(own)
                 null = np.array([t is None for t in own])
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
-                same = pa.array([None if t is None else t.encode("utf-8", "surrogatepass") == b for t, b in zip(own, back)], pa.bool_())
+                same = pa.array([None if t is None or b is None else t.encode("utf-8", "surrogatepass") == b for t, b in zip(own, back)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, pa.array(np.diff(bounds)), same], ["doc_id", "ids", "n_tokens", "exact"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, exact boolean")

@@ -35,19 +35,23 @@ LABELLED: list[list[tuple[int, int, int]]] = [
     [(2, 2, 0), (2, 2, 0), (11, 0, 0), (4, 0, 1), (300, 0, 1), (15, 0, 0)],
 ]
 DEPTH, LEAF = 6, 1
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|head|svg)\b[^<>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|<[!?][^<>]*>", re.S | re.I)
+#: Attributes, whose quoted values may hold any sign; where a quote has no end, what there is up to the next bracket.
+_ATTRS = r"""(?:(?>(?:[^<>"']|"[^"]*"|'[^']*')*)>|[^<>]*>)"""
+_TOKEN = re.compile(rf"<!--|<(script|style|noscript|template|title|svg)(?=[\s/>]){_ATTRS}|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>]){_ATTRS}|<[!?][^<>]*>", re.S | re.I)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "title", "svg")}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, words, words in links) of each block that has a word. Comments, scripts and the head have none.
+    """(text, words, words in links) of each block that has a word. Comments, scripts, styles and the title have none.
 
-    A comment or script that never ends takes the rest of the page; a link ends with its block.
+    A comment or script that never ends loses its mark only, and what follows is text; the head has no other text than the
+    title's and needs no end. Values of attributes may hold brackets. A link ends with its block.
     """
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
-    link, at = False, 0
+    link, at, comments = False, 0, True
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -65,9 +69,21 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         parts.clear()
         linked = 0
 
+    open_ = dict.fromkeys(_CLOSED, True)  # False once a name has no end tag any more
     for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
         text(page[at : m.start()])
         at = m.end()
+        if m.group() == "<!--":
+            end = page.find("-->", at) if comments else -1
+            comments = end >= 0
+            at = end + 3 if comments else at
+            continue
+        if skipped := (m.group(1) or "").lower():
+            end = _CLOSED[skipped].search(page, at) if open_[skipped] else None
+            open_[skipped] = end is not None
+            at = end.end() if end else at
         name = (m.group(3) or "").lower()
         if name == "a":
             link = not m.group(2)
@@ -140,7 +156,7 @@ def extract(pages: DataFrame, tree: tuple | None = None, id_col: str = "page_id"
     """(page_id, text, n_main, n_blocks), one row for each row of pages, in one pass without a shuffle.
 
     A null page has null text and 0 blocks, an empty one empty text; broken markup is read as it stands,
-    pages of any length whole. Repeated rows give repeated rows, null ids stay null, no rows give no
+    pages of any length whole. A leaf of the tree with as many main blocks as others counts as main. Repeated rows give repeated rows, null ids stay null, no rows give no
     rows, other columns are not read.
     """
     tree = tree or learn()

@@ -116,9 +116,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     start, n = bounds[:-1][order], n[order]
     longest, k = (int(n[0]) if len(n) else 0), scores.shape[1]
     alive = np.searchsorted(-n, -np.arange(1, longest + 1), "right")
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int32)
     jump = np.zeros((len(scores), k), bool)
-    source = np.zeros(len(scores), np.int8)
+    source = np.zeros(len(scores), np.int32)
     best = np.zeros((len(n), k), np.float32)
     for t in range(longest):
         a = alive[t]
@@ -246,7 +246,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose main language is one of `languages` (those of the model) and has the share `least`.
 
-    Null texts and texts without letters go.
+    Null texts, empty texts and texts without letters go. Where two languages have as many words, the first in the alphabet
+    is the main one. Repeated rows are kept or go alike; no rows give no rows; columns may have any names, none is added.
     """
     held = docs.sparkSession.sparkContext.broadcast((model, set(languages or model["langs"])))
     at = docs.columns.index(text_col)

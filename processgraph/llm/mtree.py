@@ -138,7 +138,7 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
     rows give no rows; other columns are not read. Ids must be integers.
     """
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = table.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x))")
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()

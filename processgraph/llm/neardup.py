@@ -176,9 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that are null or without words are like no other. Rows that repeat an id are one document, which is
     like whatever any of its texts is like. Rows without an id are left out. Copies of equal shingle
     sets meet in one step; ties can't arise, since group_id is a minimum. No rows give no rows. Other
-    columns, whatever their names, are not read. Ids must be integers.
+    columns, whatever their names, are not read. An id that isn't an integer counts as none.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     same = Window.partitionBy(F.xxhash64("sig"), F.xxhash64(F.lit(7), "sig")).orderBy("id")
     signed = rows.mapInArrow(sign, "id long, sig binary")
     signed = cut(signed.select("id", "sig", F.first("id").over(same).alias("first"), F.row_number().over(same).alias("nth")))
@@ -214,12 +214,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, less all but the least id of each group.
 
-    Of rows that repeat an id, the first in the order of the text stays. Rows without an id stay.
+    Of rows that repeat an id, the first in the order of the text stays, null last. Rows without an id stay, and documents
+    without words, since they are like no other. No rows give no rows; columns may have any names.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where("doc_id > group_id").select(F.col("doc_id").alias("__gone"))
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
-    kept = kept.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id > group_id").select(F.col("doc_id").alias("gone"))
+    rows = docs.select(F.struct("*").alias("r"), F.col(id_col).try_cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    named = rows.where("i is not null")
+    kept = named.join(gone, named["i"] == gone["gone"], "left_anti")
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("i").orderBy(F.col("t").asc_nulls_last()))).where("nth = 1")
+    return kept.select("r.*").unionAll(rows.where("i is null").select("r.*"))

@@ -1,27 +1,27 @@
 """Packing documents into windows by minimum bin slack.
 
-A document of n tokens (words between white space) fills n // CAPACITY whole windows by itself; what
-remains is an item. Within a shard, windows are filled one after the other: dynamic programming over
+Documents are encoded by the byte-level BPE of this package. One of n tokens fills n // CAPACITY whole
+windows by itself; what remains is an item. Within a shard, windows are filled one after the other: dynamic programming over
 the multiset of remaining lengths, with the reachable sums as the bits of one integer, finds the sum
 closest to the capacity, and going back through the stored integers gives how many items of each
 length make it. As long as the items last, the same choice fills further windows.
 
 Shards hold about SHARD_DOCS documents each, whatever the size of the table, so the work of a shard
-doesn't grow, and only ids and lengths are shuffled.
+doesn't grow, and only lengths are shuffled to the shards. The tokens, which are kept in the checkpoint
+folder, then join the pieces that were made of their document.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from processgraph.llm.textnp import chunks, utf8, words
+from processgraph.lineage import cut
+from processgraph.llm import bpe
 
 CAPACITY, SHARD_DOCS = 2048, 20_000
 
@@ -71,20 +71,10 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[i
                 del left[k]
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = utf8(batch.column(1))
-        n = np.zeros(batch.num_rows, np.int64)
-        for i, j in chunks(off, 1 << 20):
-            _, _, bounds = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            n[i:j] = np.diff(bounds)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], ["doc_id", "n"])
-
-
 def _pack(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "n"], kind="stable")
-        ids, n = rows["doc_id"].to_numpy(), rows["n"].to_numpy()
+        rows = rows.sort_values(["doc_id", "n", "row"], kind="stable")
+        ids, n = rows["row"].to_numpy(), rows["n"].to_numpy()
         window = 0
         out: list[tuple[int, int, int, int, int]] = []
         items: dict[int, list[int]] = defaultdict(list)
@@ -105,23 +95,27 @@ def _pack(capacity: int):
                         out.append((window, at, ids[k], n[k] - length, length))
                         at += length
                 window += 1
-        made = pd.DataFrame(out, columns=["window", "position", "doc_id", "start", "n_tokens"], dtype="int64")
+        made = pd.DataFrame(out, columns=["window", "position", "row", "start", "n_tokens"], dtype="int64")
         made.insert(0, "shard", int(rows["shard"].iloc[0]))
         return made
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(shard, window, position, doc_id, start, n_tokens): tokens [start, start + n_tokens) of a document at a position of a window.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(shard, window, position, doc_id, start, n_tokens, ids): tokens [start, start + n_tokens) of a document, which are ids, at a position of a window.
 
     Windows are numbered within their shard. Every token of every document is in exactly one piece; only
-    a document longer than the capacity has several. Texts that are null or without words have no piece,
-    and rows without an id are left out, since nothing could name them. Rows that repeat an id are packed
-    each for itself. Of items of one length, the least id goes first. No rows give no rows; other columns
-    are not read. Ids must be integers.
+    a document longer than the capacity has several. Texts that are null or empty have no piece, and rows
+    without an id, or with one that isn't an integer, are left out, since nothing could name them. Rows that
+    repeat an id are packed each for itself. Of items of one length, the least id goes first. No rows give
+    no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    shards = max(1, -(-rows.select("doc_id").count() // shard_docs))
-    sized = rows.mapInArrow(_count, "doc_id long, n long").where("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    return sized.groupBy("shard").applyInPandas(_pack(capacity), "shard int, window long, position long, doc_id long, start long, n_tokens long")
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
+    coded = cut(bpe.encode(rows, vocabulary=vocabulary, check=False).select("doc_id", "ids", F.col("n_tokens").alias("n")))
+    coded = coded.withColumn("row", F.monotonically_increasing_id())  # the same each time, since the rows are stored
+    shards = max(1, -(-coded.count() // shard_docs))
+    sized = coded.select("doc_id", "n", "row").withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
+    made = sized.repartition(shards, "shard").groupBy("shard").applyInPandas(_pack(capacity), "shard int, window long, position long, row long, start long, n_tokens long")
+    whole = made.join(coded.select("row", "doc_id", "ids"), "row")
+    return whole.select("shard", "window", "position", "doc_id", "start", "n_tokens", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("ids"))

@@ -28,7 +28,7 @@ _RUN = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_\-]{12,}={0,2})")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}(?![A-Za-z0-9])")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}|(?:ghp|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{16,}")
 _MARKS = ("AKIA", "ghp", "sk_", "sk-", "pk_", "pk-", "xox")
-_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+\-]+$"), re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
+_LOCAL, _DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")
 _PART = re.compile(r"[+(]?\d[\d()\-. ]*\d")
@@ -57,9 +57,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        a, b = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if a and b:
-            found.append((a.start(), b.end(), "EMAIL"))
+        start, b = at, _DOMAIN.match(text, at + 1)
+        while b and start and text[start - 1] in _LOCAL:
+            start -= 1
+        if b and start < at:
+            found.append((start, b.end(), "EMAIL"))
         at = text.find("@", at + 1)
     for m in _NUMBER.finditer(text):
         s, e = m.start(), m.end()
@@ -251,7 +253,11 @@ def find(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
 
 
 def redact_table(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", chars_col: str | None = "n_chars", least: float = LEAST) -> DataFrame:
-    """The rows of docs, with all their columns, with redacted texts and, if there is such a column, their new lengths."""
+    """The rows of docs, with all their columns, with redacted texts and, if there is such a column, their new lengths.
+
+    Null and empty texts stay as they are, and so does the length of a text that isn't altered. Of spans that overlap the
+    first and then the longest counts; repeated rows are redacted alike; no rows give no rows. No column is added.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     n_at = docs.columns.index(chars_col) if chars_col in docs.columns else None

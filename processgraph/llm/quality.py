@@ -7,8 +7,8 @@ is linear in byte embeddings, two tables over byte pairs hold all products, and
 two look-ups.
 
 Training takes at most TRAIN_DOCS labelled documents, half of each class, chosen by a hash of their
-ids, and at most TRAIN_CHUNKS evenly spread chunks of each. Both bounds are parameters of fit().
-Scoring has no bounds.
+ids, which is a parameter of fit(). Each epoch draws up to TRAIN_CHUNKS chunks of each anew, from the whole
+text. Scoring has no bounds.
 """
 
 from __future__ import annotations
@@ -87,19 +87,18 @@ def fit_arrays(data: np.ndarray, off: np.ndarray, good: np.ndarray, n_chunks: in
     rng = np.random.default_rng(seed)
     m: Model = {"embed": rng.normal(0, 0.5, (256, EMBED)), "filters": rng.normal(0, 0.5, (KERNEL, EMBED, FILTERS)), "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.5, FILTERS), "out_bias": np.zeros(1)}
     flat, blocks = layout(data, off)
-    starts, label = [], []
-    for d in range(len(good)):
-        n = max(1, blocks[d + 1] - blocks[d] - 1)
-        own = np.unique(np.linspace(0, n - 1, min(n, n_chunks)).astype(int))
-        starts.append((blocks[d] + own) * HALF)
-        label.append(np.full(len(own), float(good[d])))
-    start, y = np.concatenate(starts), np.concatenate(label)
+    n = np.maximum(1, np.diff(blocks) - 1)
+    take = np.minimum(n, n_chunks)
+    doc = np.repeat(np.arange(len(good)), take)
+    nth, y = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take), good[doc].astype(float)
     flat = np.concatenate([flat, np.zeros(CHUNK, np.uint8)])
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     mean = {k: np.zeros_like(v) for k, v in m.items()}
     var = {k: np.zeros_like(v) for k, v in m.items()}
     step, size, width = 0, 256, CHUNK + KERNEL - 1
     for _ in range(epochs):
+        drawn = np.where(n[doc] > n_chunks, ((nth + rng.random(len(doc))) * n[doc] / take[doc]).astype(np.int64), nth)
+        start = (blocks[doc] + np.minimum(drawn, n[doc] - 1)) * HALF
         order = rng.permutation(len(start))
         for b in range(0, len(order), size):
             at = order[b : b + size]
@@ -130,14 +129,14 @@ def fit_arrays(data: np.ndarray, off: np.ndarray, good: np.ndarray, n_chunks: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, n_chunks: int = TRAIN_CHUNKS) -> Model:
-    """A model from at most `most` labelled documents. Null labels, ids and texts don't count.
+    """A model from at most `most` labelled documents. Null labels, ids and texts don't count; an id with both labels is not good.
 
     Without labels of both classes there is nothing to learn, and the model accepts everything.
     """
-    tagged = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good")).where("__id is not null and __good in (0, 1)")
+    tagged = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good")).where("__id is not null and __good in (0, 1)").groupBy("__id").agg(F.min("__good").alias("__good"))
     sizes = {r["__good"]: r["count"] for r in tagged.groupBy("__good").count().collect()}
     own = [bounded(tagged.where(f"__good = {k}"), F.col("__id"), sizes.get(k, 0), most // 2) for k in (0, 1)]
-    chosen = own[0].unionAll(own[1]).dropDuplicates(["__id"])
+    chosen = own[0].unionAll(own[1])
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
     found = rows.join(F.broadcast(chosen), "__id").select("__id", "__text", "__good").toPandas().sort_values("__id", kind="stable")
     good = found["__good"].to_numpy()
@@ -150,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, prob), one row for each row of docs, in one pass without a shuffle.
 
-    A text that is null or empty has the probability 0; a text of any length is read whole. Repeated rows
+    A text that is null or empty has the probability 0; a text of any length is read whole. Where responses
+    tie, the maximum is the same. Repeated rows
     give repeated rows, null ids stay null, no rows give no rows, other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -166,7 +166,11 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose probability is `least` or more. Null and empty texts go."""
+    """The rows of docs, with all their columns, whose probability is `least` or more.
+
+    Null and empty texts go. Repeated rows are kept or go alike; no rows give no rows; columns may have any names, none is
+    added.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

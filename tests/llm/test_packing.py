@@ -1,9 +1,14 @@
 import itertools
+import os
 import random
 from collections import Counter
 
+import pytest
+from processgraph.llm import bpe
 from processgraph.llm import packing as K
 
+pytestmark = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary file")
+
 
 def best_sum(items, capacity):
     reach = {0}
@@ -39,20 +44,36 @@ def test_each_window_is_closest_to_capacity():
 
 def test_pieces_cover_every_token_once(spark, table, prose):
     rows = [(k, prose(k, n)) for k, n in enumerate([1, 5, 64, 65, 200, 63, 32, 32, 128, 10, 54] * 4)]
+    coder = bpe.Coder(bpe.load())
+    flat, to = coder.encode([x for _, x in rows])
+    tokens = {d: list(flat[a:b]) for (d, _), a, b in zip(rows, to, to[1:])}
     for shard_docs in (20_000, 10):
         out = K.pack(table(rows), capacity=64, shard_docs=shard_docs).collect()
-        seen = {(r.doc_id, t) for r in out for t in range(r.start, r.start + r.n_tokens)}
-        assert len(seen) == sum(r.n_tokens for r in out) and seen == {(d, t) for d, x in rows for t in range(len(x.split()))}
-        for _, group in itertools.groupby(sorted(out, key=lambda r: (r.shard, r.window, r.position)), key=lambda r: (r.shard, r.window)):
+        seen = {(r.doc_id, r.start + k): t for r in out for k, t in enumerate(r.ids)}
+        assert len(seen) == sum(r.n_tokens for r in out) and seen == {(d, k): t for d, x in tokens.items() for k, t in enumerate(x)}
+        windows = {}
+        for key, group in itertools.groupby(sorted(out, key=lambda r: (r.shard, r.window, r.position)), key=lambda r: (r.shard, r.window)):
             at = 0
             for r in group:
-                assert r.position == at
+                assert r.position == at and len(r.ids) == r.n_tokens
                 at += r.n_tokens
             assert 0 < at <= 64
+            windows[key] = [r for r in out if (r.shard, r.window) == key]
+        for shard in {s for s, _ in windows}:  # each window as full as the items left at its turn allow
+            left = Counter(r.n_tokens for r in out if r.shard == shard and not (r.n_tokens == 64 and len(tokens[r.doc_id]) > r.n_tokens or r.n_tokens == 64))
+            for w in sorted(w for s, w in windows if s == shard):
+                own = [r.n_tokens for r in windows[shard, w]]
+                if own != [64]:
+                    assert sum(own) == best_sum(list(left.elements()), 64)
+                    left.subtract(own)
+            assert not +left
 
 
 def test_edges(spark, table, edges):
     out = K.pack(table(edges)).collect()
-    assert sum(r.n_tokens for r in out) == sum(len(t.replace(" ", "x").split()) for d, t in edges if d is not None and t)
-    assert {r.doc_id for r in out} == {4, 5, 6, 7, 8, 9, 10}
+    flat, to = bpe.Coder(bpe.load()).encode([t for d, t in edges if d is not None])
+    assert sum(r.n_tokens for r in out) == len(flat)
+    assert {r.doc_id for r in out} == {3, 4, 5, 6, 7, 8, 9, 10}
     assert K.pack(table([])).count() == 0
+    named = spark.createDataFrame([("7", "a b"), ("x", "c")], "doc_id string, text string")
+    assert [r.doc_id for r in K.pack(named).collect()] == [7]

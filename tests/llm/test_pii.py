@@ -58,7 +58,7 @@ def test_expectation_maximisation_finds_reliabilities():
 def test_candidates_cover_and_dont_overlap():
     text = "a.b@c.example.org, +1 (706) 555-3138 4644348398010899 10.0.0.1 4111 1111 1111 1111 (212) 555-1234 170.1.2.3 555-123-4567"
     found = P.candidates(text)
-    assert [k for _, _, k in found] == ["EMAIL", "PHONE", "CARD", "IP", "CARD", "PHONE", "IP", "PHONE"] or len(found) >= 7
+    assert [k for _, _, k in found] == ["EMAIL", "PHONE", "CARD", "IP", "CARD", "PHONE", "IP", "PHONE"]
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
     assert P.candidates("no numbers 12 here, section 3.4.") == []
 
@@ -82,3 +82,50 @@ def test_edges(spark, table, edges):
     assert P.find(table([]), model).count() == 0 and P.fit(table([])) == {}
     same = P.redact_table(frame, model)
     assert sorted(map(str, same.collect())) == sorted(map(str, frame.collect()))
+
+
+def test_addresses_against_brute_force():
+    """Of all stretches around an @ that have the form of an address, the longest."""
+    import re
+
+    r, form = random.Random(8), re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
+    for _ in range(300):
+        text = "".join(r.choice("ab.@@- x_") for _ in range(r.randrange(1, 24)))
+        every = [(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if form.fullmatch(text[a:b])]
+        longest, want = {}, []
+        for a, b in every:
+            longest[text.index("@", a)] = max(longest.get(text.index("@", a), (0, 0)), (b - a, -a))
+        for n, a in sorted(longest.values(), key=lambda x: (-x[1], -x[0])):
+            if not want or -a >= want[-1][1]:
+                want.append((-a, -a + n))
+        assert [(s, e) for s, e, k in P.candidates(text) if k == "EMAIL"] == want, text
+    far = "a" * 500 + "@example.com"
+    assert P.candidates("x " + far) == [(2, 2 + len(far), "EMAIL")]
+
+
+def test_expectation_maximisation_against_brute_force():
+    """The same steps over single spans in place of counted patterns."""
+    rng = np.random.default_rng(1)
+    votes = rng.integers(-1, 2, (300, 4))
+    pattern, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    got = P.estimate(pattern, counts.astype(float), rounds=5)
+    p = []
+    for v in votes:
+        pro, con = (v > 0).any(), (v < 0).any()
+        p.append(0.9 if pro and not con else 0.2 if pro else 0.1 if con else 0.5)
+    for _ in range(5):
+        share = (sum(p) + 1) / (len(p) + 2)
+        table = np.zeros((4, 2, 3))
+        for k in range(4):
+            for c in (0, 1):
+                for j in (0, 1, 2):
+                    table[k, c, j] = sum((q if c else 1 - q) for q, v in zip(p, votes) if v[k] + 1 == j) + 0.5 + (len(p) * P.PRIOR * P._BELIEF[c][j] if k < 2 else 0)
+                table[k, c] /= table[k, c].sum()
+        new = []
+        for v in votes:
+            a, b = share, 1 - share
+            for k in range(4):
+                a, b = a * table[k, 1, v[k] + 1], b * table[k, 0, v[k] + 1]
+            new.append(a / (a + b))
+        p = new
+    assert np.allclose(got[0][inverse.ravel()], p) and abs(got[1] - share) < 1e-9 and np.allclose(got[2], table)
