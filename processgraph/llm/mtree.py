@@ -1,16 +1,18 @@
-"""Exact nearest neighbours of every vector by best-first search in M-trees.
-
-Vectors are divided among cells by their nearest pivot; each cell holds an M-tree. A node is a page of
-entries, each with a routing vector, a covering radius and the distance to the routing vector of the
-page above (a leaf's entries have radius 0). A search takes pages from a queue in the order of the least
-distance that anything in them can have, and leaves out entries without computing their distance where
-the stored distances already say, by the triangle inequality, that they are too far. Queries that lie
-in one leaf go through the tree together, each with its own bounds, so that the distances of a page are
-one product of matrices; what may be among the nearest is then measured exactly.
-
-Every vector is a query. It is searched in its own cell first; the distance of its k-th neighbour there
-then says which other cells can hold a nearer one, and only those are searched. Cells have about CELL
-vectors at every size of the table; the pivots that workers get are checked against LIMIT_MB.
+"""Exact nearest neighbours by best-first search in M-trees.
+
+Vectors are divided among cells by their nearest pivot, and a cell among parts of about PART vectors by a
+hash, so that no tree grows with the table or with a crowd of like vectors. Each part holds an M-tree. A
+node is a page of entries, each with a routing vector, a covering radius and the distance to the routing
+vector of the page above (a leaf's entries have radius 0). A search takes pages from a queue in the order of
+the least distance that anything in them can have, and leaves out entries without computing their distance
+where the stored distances already say, by the triangle inequality, that they are too far. Queries that are
+near one another go through the tree together, each with its own bounds: where most of a page is needed the
+distances are one product of matrices, else only those that are needed are computed. What may be among the
+nearest is then measured exactly.
+
+A query is searched in one part of its own cell first; the distance of its k-th neighbour there then says
+which cells can hold a nearer one, and their other parts are searched, in blocks of BLOCK queries. Pivots are
+a sample of at most PIVOTS vectors, a bound on what workers get; every vector is indexed and the result is exact.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from processgraph.lineage import cut
 
-K, CELL, PAGE, LIMIT_MB, EPS = 10, 8192, 128, 512, 1e-6
+K, CELL, PART, PIVOTS, BLOCK, PAGE, EPS = 10, 8192, 16384, 1024, 4096, 128, 1e-6
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -81,6 +83,16 @@ class Tree:
             if not page[0] and len(page[1]):
                 yield page[1]
 
+    def nearest_leaf(self, q: np.ndarray) -> np.ndarray:
+        """The leaf page that each query comes to by the nearest routing vectors; it is where to look first, not what to look at only."""
+        at = np.full(len(q), self.root)
+        while len(inner := np.unique([p for p in np.unique(at) if self.pages[p][0]])):
+            for p in inner:
+                own = np.flatnonzero(at == p)
+                x = self.pages[p][2]
+                at[own] = self.pages[p][1][((x * x).sum(1) - 2 * q[own] @ x.T).argmin(1)]
+        return at
+
     def search(self, q: np.ndarray, own: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """For each query the distances and ids of its k nearest that aren't `own` and not farther than its bound, and how many distances were computed.
 
@@ -101,9 +113,16 @@ class Tree:
                 if not len(cols):
                     continue
             x = vectors[cols]
-            d = np.sqrt(np.maximum(square[rows, None] + (x * x).sum(1) - 2 * q[rows] @ x.T, 0))
-            computed += d.size
-            ok = d - radii[cols] <= limit[rows, None] + EPS
+            need = np.ones((len(rows), len(cols)), bool) if above is None else need[np.ix_(rows, cols)]
+            if need.mean() > 0.25:
+                d = np.sqrt(np.maximum(square[rows, None] + (x * x).sum(1) - 2 * q[rows] @ x.T, 0))
+                computed += d.size
+            else:
+                d = np.full(need.shape, np.inf)
+                r, c = np.nonzero(need)
+                d[r, c] = distances(x[c], q[rows[r]])
+                computed += len(r)
+            ok = need & (d - radii[cols] <= limit[rows, None] + EPS)
             if inner:
                 for j in np.flatnonzero(ok.any(0)):
                     down = np.full(len(q), np.inf)
@@ -129,26 +148,30 @@ def _vectors(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), float)
 
 
-def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest other vectors of each, by Euclidean distance and then by id.
+def _together(tree: Tree, x: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of x in slices of PAGE, those of one leaf one after the other."""
+    order = np.argsort(tree.nearest_leaf(x), kind="stable")
+    for s in range(0, len(order), PAGE):
+        yield order[s : s + PAGE]
+
+
+def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 1, cell: int = CELL, part: int = PART) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest of all other vectors, by Euclidean distance and then by id.
 
-    With fewer than k others, all are given. A row whose id or vector is null, that has a null or NaN
-    inside, or another length than most vectors have, is neither query nor neighbour. Rows that repeat an
-    id count once, with the least vector; equal vectors of different ids are neighbours at distance 0. No
-    rows give no rows; other columns are not read. Ids must be integers.
+    Queries are the rows whose id is divisible by `every`. With fewer than k others, all are given. A row whose id
+    isn't an integer or null, whose vector is null, has a null or NaN inside, or another length than most vectors have,
+    is neither query nor neighbour. Rows that repeat an id count once, with the least vector; equal vectors of different
+    ids are neighbours at distance 0. No rows give no rows; other columns are not read.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x))")
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "vec_id long, rank long, neighbor_id long, distance double")
     if sizes is None:
-        return empty
+        return spark.createDataFrame([], "vec_id long, rank long, neighbor_id long, distance double")
     rows, n = rows.where(F.size("v") == sizes["d"]), sizes["count"]
-    count = max(1, -(-n // cell))
-    if count * sizes["d"] * 8 / 1e6 > LIMIT_MB:
-        raise ValueError(f"{count} pivots are more than {LIMIT_MB} MB; a larger cell makes fewer")
+    count = min(PIVOTS, max(1, -(-n // cell)))
     pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(count).collect()], float)
     held = spark.sparkContext.broadcast(pivots)
 
@@ -156,55 +179,66 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                own = np.concatenate([np.stack([distances(held.value, q) for q in x[s : s + 512]]).argmin(1) for s in range(0, len(x), 512)])
+                own = np.concatenate([((held.value**2).sum(1) - 2 * x[s : s + 512] @ held.value.T).argmin(1) for s in range(0, len(x), 512)])
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns], ["cell", "id", "v"])
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        x, c = _vectors(part["v"]), int(part["cell"].iloc[0])
-        tree = Tree(part["id"].to_numpy(), x)
-        return pd.DataFrame({"cell": [c], "radius": [float(distances(x, held.value[c]).max())], "tree": [pickle.dumps(tree)]})
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        x, c = _vectors(rows["v"]), int(rows["cell"].iloc[0])
+        tree = Tree(rows["id"].to_numpy(), x)
+        return pd.DataFrame({"cell": [c], "part": [int(rows["part"].iloc[0])], "radius": [float(distances(x, held.value[c]).max())], "tree": [pickle.dumps(tree)]})
 
     placed = cut(rows.mapInArrow(assign, "cell long, id long, v array<double>"))
-    trees = cut(placed.groupBy("cell").applyInPandas(build, "cell long, radius double, tree binary"))
+    parts = np.ones(count, np.int64)
+    for r in placed.groupBy("cell").count().collect():
+        parts[r["cell"]] = -(-r["count"] // part)
+    divided = F.element_at(F.lit([int(x) for x in parts]).cast("array<long>"), F.col("cell").cast("int") + 1)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), divided))
+    trees = cut(placed.groupBy("cell", "part").applyInPandas(build, "cell long, part long, radius double, tree binary"))
     reach = np.full(count, -np.inf)
-    for r in trees.select("cell", "radius").collect():
+    for r in trees.groupBy("cell").agg(F.max("radius").alias("radius")).collect():
         reach[r["cell"]] = r["radius"]
     radii = spark.sparkContext.broadcast(reach)
-
-    def listed(best: np.ndarray, who: np.ndarray) -> tuple[list, list]:
-        real = np.isfinite(best)
-        return [d[r] for d, r in zip(best, real)], [i[r] for i, r in zip(who, real)]
-
-    def near(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    trees = trees.select("cell", "part", "tree")
+    asked = placed.where(F.col("id") % every == 0)
+
+    def blocks(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Queries, and the trees of their cells' parts, both by cell, part and block."""
+        n_blocks = [0] * count
+        for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect():
+            n_blocks[r["cell"]] = -(-r["n"] // BLOCK)
+        own = F.element_at(F.lit(n_blocks).cast("array<long>"), F.col("cell").cast("int") + 1)
+        return queries.withColumn("block", F.pmod(F.xxhash64("id"), own)), trees.where(own > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), own - 1)))
+
+    def near(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(part) and len(own):
-            tree, c = pickle.loads(own["tree"].iloc[0]), int(own["cell"].iloc[0])
-            part = part.sort_values("id")
-            x, names = _vectors(part["v"]), part["id"].to_numpy()
-            for rows in tree.leaves():
-                best, who, _ = tree.search(x[rows], names[rows], k, np.full(len(rows), np.inf))
-                ds, ids = listed(best, who)
-                for r, d, i, bound in zip(rows, ds, ids, best[:, -1]):
-                    cells = np.flatnonzero(distances(held.value, x[r]) - radii.value <= bound + EPS)
-                    out.append((names[r], x[r], bound, cells[cells != c], d, i))
-        return pd.DataFrame(out, columns=["id", "v", "bound", "cells", "ds", "ids"])
-
-    def more(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) and len(own):
+            tree, c, p = pickle.loads(own["tree"].iloc[0]), int(own["cell"].iloc[0]), int(own["part"].iloc[0])
+            x, names = _vectors(rows["v"]), rows["id"].to_numpy()
+            for at in _together(tree, x):
+                best, who, _ = tree.search(x[at], names[at], k, np.full(len(at), np.inf))
+                for r, d, i in zip(at, best, who):
+                    cells = np.flatnonzero(distances(held.value, x[r]) - radii.value <= d[-1] + EPS)
+                    out.append((names[r], x[r], d[-1], cells, c, p, d[np.isfinite(d)], i[np.isfinite(d)]))
+        return pd.DataFrame(out, columns=["id", "v", "bound", "cells", "own", "done", "ds", "ids"])
+
+    def more(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(part) and len(own):
+        if len(rows) and len(own):
             tree = pickle.loads(own["tree"].iloc[0])
-            x, names, bound = _vectors(part["v"]), part["id"].to_numpy(), part["bound"].to_numpy()
-            for s in range(0, len(x), PAGE):
-                best, who, _ = tree.search(x[s : s + PAGE], names[s : s + PAGE], k, bound[s : s + PAGE])
-                out += [(n, d, i) for n, d, i in zip(names[s : s + PAGE], *listed(best, who)) if len(d)]
+            x, names, bound = _vectors(rows["v"]), rows["id"].to_numpy(), rows["bound"].to_numpy()
+            for at in _together(tree, x):
+                best, who, _ = tree.search(x[at], names[at], k, bound[at])
+                out += [(names[r], d[np.isfinite(d)], i[np.isfinite(d)]) for r, d, i in zip(at, best, who) if np.isfinite(d[0])]
         return pd.DataFrame(out, columns=["id", "ds", "ids"])
 
-    trees = trees.select("cell", "tree")
-    first = placed.groupBy("cell").cogroup(trees.groupBy("cell")).applyInPandas(near, "id long, v array<double>, bound double, cells array<long>, ds array<double>, ids array<long>")
+    key = ["cell", "part", "block"]
+    asked, own = blocks(asked)
+    first = asked.groupBy(*key).cogroup(own.groupBy(*key)).applyInPandas(near, "id long, v array<double>, bound double, cells array<long>, own long, done long, ds array<double>, ids array<long>")
     first = cut(first)
-    again = first.select("id", "v", "bound", F.explode("cells").alias("cell"))
-    second = again.groupBy("cell").cogroup(trees.groupBy("cell")).applyInPandas(more, "id long, ds array<double>, ids array<long>")
+    again, own = blocks(first.select("id", "v", "bound", "own", "done", F.explode("cells").alias("cell")))
+    again = again.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), divided - 1))).where("cell <> own or part <> done")
+    second = again.groupBy(*key).cogroup(own.groupBy(*key)).applyInPandas(more, "id long, ds array<double>, ids array<long>")
     pairs = first.select("id", "ds", "ids").unionAll(second).select("id", F.explode(F.arrays_zip("ds", "ids")).alias("p"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("p.ds", "p.ids")).cast("long")
     ranked = pairs.select(F.col("id").alias("vec_id"), rank.alias("rank"), F.col("p.ids").alias("neighbor_id"), F.round("p.ds", 6).alias("distance"))

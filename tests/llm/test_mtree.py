@@ -11,7 +11,7 @@ def brute(ids, x, k):
     return out
 
 
-def test_all_neighbours_against_brute_force(spark):
+def test_all_neighbours_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 5, (6, 8))
     x = centres[rng.integers(0, 6, 700)] + rng.normal(0, 1, (700, 8))
@@ -19,9 +19,12 @@ def test_all_neighbours_against_brute_force(spark):
     ids = rng.permutation(5000)[:700]
     rows = [(int(i), v.tolist(), 1, 0.5) for i, v in zip(ids, x)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, distance double")
-    for cell in (8192, 90):
-        got = {tuple(r) for r in M.neighbours(frame, 5, cell=cell).collect()}
+    for cell, part in ((8192, 16384), (90, 60), (700, 50)):
+        got = {tuple(r) for r in M.neighbours(frame, 5, cell=cell, part=part).collect()}
         assert got == brute(ids, x, 5)
+    monkeypatch.setattr(M, "BLOCK", 10)
+    got = {tuple(r) for r in M.neighbours(frame, 5, every=7, cell=90, part=60).collect()}
+    assert got == {r for r in brute(ids, x, 5) if r[0] % 7 == 0}
 
 
 def test_bounds_save_distances():
