@@ -6,13 +6,13 @@ one document, so documents are independent of each other and of their order.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COHERENCE, RHO, SKIM = 45, 1 / 30, 15
 CAPS = {2: 0, 3: 150, 4: 150, 5: 45}
@@ -89,12 +89,15 @@ def to_notes(docs: DataFrame, chapter: str = "", percent: float = 50.0) -> DataF
 
 # Fragments and n-grams
 
+_BRACKET, _STOP = re.compile(r"[()\[\]{}]"), re.compile(r"['\"!.。]")
+
 
 def balanced(s: str) -> list[str]:
     """Parts outside brackets and whole bracket groups."""
     s, pairs = s.strip(), {"(": ")", "[": "]", "{": "}"}
     out, start, waiting, depth = [], 0, "", {}
-    for i, c in enumerate(s):
+    for m in _BRACKET.finditer(s):
+        i, c = m.start(), m[0]
         if c in pairs:
             depth[pairs[c]] = depth.get(pairs[c], 0) + 1
             if not waiting:
@@ -102,7 +105,7 @@ def balanced(s: str) -> list[str]:
                 if s[start:i].strip():
                     out.append(s[start:i].strip())
                 start = i
-        elif c in pairs.values():
+        else:
             depth[c] = depth.get(c, 0) - 1
             if depth.get(waiting, 0) == 0:
                 out.append(s[start : i + 1])
@@ -135,7 +138,8 @@ def paragraph_sentences(paragraph: str) -> list[str]:
     if len(s.encode()) < 100:
         return [even_quotes(s)] if s else []
     out, start, single, double = [], 0, False, False
-    for i, c in enumerate(s):
+    for m in _STOP.finditer(s):
+        i, c = m.start(), m[0]
         single ^= c == "'"
         double ^= c == '"'
         if c in "!.。" and not single and not double and i + 1 - start > 20:
@@ -175,38 +179,60 @@ def fragment_ngrams(fragment: str, least: int = 2, most: int = 5) -> list[tuple[
     return out
 
 
-def ngrams(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentence, pos, n, ngram) for n of 2 to 5 from cleaned texts; sentences count from 1."""
+def clean_ngrams(text: Column) -> Column:
+    """clean_ngram() of a column."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"---.*", ""), r'["—“”!?`,.:;()_]+', "")
+    return F.lower(F.btrim(F.btrim(F.replace(bare, F.lit("  "), F.lit(" ")), F.lit("-")), F.lit("'")))
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for d, text in zip(frame["doc_id"], frame["text"]):
-                if text is None:
-                    continue
-                own = re.sub(r"[\[\]]", "", re.sub(r"<[^>]*>", ":\n", text))
-                k = 0
-                for s in (s for p in structure(own) for s in p):
-                    k += 1
-                    pos = 0
-                    for f in s:
-                        for n, g in fragment_ngrams(f):
-                            out.append((d, k, pos, n, g))
-                            pos += 1
-            yield pd.DataFrame(out, columns=["doc_id", "sentence", "pos", "n", "ngram"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, sentence int, pos int, n int, ngram string")
+def _spans(w: Column, starts: Column, ends: Column, most: int = 5) -> Column:
+    """(n, ngram) of runs of 2 to `most` words that may stand alone, in the order in which they end. starts and ends say which words may be first and last."""
+
+    def ending(i: Column) -> Column:
+        n_of = F.filter(F.sequence(F.lit(2), F.lit(most)), lambda n: (n <= i) & F.get(ends, i - 1) & F.get(starts, i - n))
+        return F.transform(n_of, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(w, i - n + 1, n), " ").alias("ngram")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), ending))
+
+
+def _exploded(rows: DataFrame, words: Column, keep: list[str]) -> DataFrame:
+    """keep, pos, n and ngram of rows with a list of words."""
+    of = rows.select(*keep, words.alias("w")).withColumn("c", F.transform("w", clean_ngrams))
+    can = lambda banned: F.transform("c", lambda x: (F.length(x) > 2) & ~x.isin(*sorted(banned)))
+    of = of.select(*keep, "w", can(STARTERS).alias("a"), can(ENDINGS).alias("b"))
+    spans = of.select(*keep, F.posexplode(_spans(F.col("w"), F.col("a"), F.col("b"))).alias("pos", "x"))
+    return spans.select(*keep, "pos", F.col("x.n").alias("n"), clean_ngrams(F.col("x.ngram")).alias("ngram"))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _structured(texts: pd.Series) -> pd.Series:
+    """The sentences of a text as lists of fragments; the only step that isn't an expression, since quotes and brackets need a memory."""
+    return texts.map(lambda t: [s for p in structure(t) for s in p] if t else [])
+
+
+def fragment_rows(docs: DataFrame, cleaned: bool = True) -> DataFrame:
+    """(doc_id, l, sentence, frag, fragment): sentences count from 1, l is how many the document has. Documents are dealt out once; what follows is by document and stays there."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, or few would be made of texts that are small beside their n-grams
+    own = docs.select("doc_id", (clean(F.col("text")) if cleaned else F.col("text")).alias("text")).repartition(tasks, "doc_id")
+    s = own.select("doc_id", _structured("text").alias("s"))
+    # the number goes into each element, or else the whole list would be copied to each row for it
+    s = s.select("doc_id", F.inline(F.transform("s", lambda f, i: F.struct(F.size("s").alias("l"), (i + 1).alias("sentence"), f.alias("f")))))
+    return s.select("doc_id", "l", "sentence", F.posexplode("f").alias("frag", "fragment"))
+
+
+def ngrams(docs: DataFrame) -> DataFrame:
+    """(doc_id, l, sentence, frag, pos, n, ngram) for n of 2 to 5 from cleaned texts; sentences count from 1, l is how many there are."""
+    return _exploded(fragment_rows(docs), F.split("fragment", " "), ["doc_id", "l", "sentence", "frag"])
 
 
 def ngram_table(grams: DataFrame) -> DataFrame:
     """(doc_id, n, ngram, freq, locations)."""
-    return grams.groupBy("doc_id", "n", "ngram").agg(F.count("*").cast("double").alias("freq"), F.transform(F.array_sort(F.collect_list(F.struct("sentence", "pos"))), lambda x: x["sentence"]).alias("locations"))
+    return grams.groupBy("doc_id", "n", "ngram").agg(F.count("*").cast("double").alias("freq"), F.array_sort(F.collect_list("sentence")).alias("locations"))
 
 
 def gaps(grams: DataFrame) -> DataFrame:
     """(doc_id, n, ngram, occurrences, min_gap, max_gap) in sentences; the first gap is from 0, the least starts at 99."""
-    last = F.lag("sentence", 1, 0).over(Window.partitionBy("doc_id", "n", "ngram").orderBy("sentence", "pos"))
+    last = F.lag("sentence", 1, 0).over(Window.partitionBy("doc_id", "n", "ngram").orderBy("sentence"))
     own = grams.withColumn("gap", F.col("sentence") - last)
     return own.groupBy("doc_id", "n", "ngram").agg(F.count("*").alias("occurrences"), F.least(F.lit(99), F.min("gap")).alias("min_gap"), F.max("gap").alias("max_gap"))
 
@@ -218,92 +244,85 @@ def intentional(gap: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def lengths(grams: DataFrame) -> DataFrame:
-    """(doc_id, l): the last sentence with an n-gram, which stands for the number of sentences."""
-    return grams.groupBy("doc_id").agg(F.max("sentence").alias("l"))
+    """(doc_id, l): the number of sentences, with n-grams or without."""
+    return grams.groupBy("doc_id").agg(F.max("l").alias("l"))
+
+
+def intents(grams: DataFrame, freq: DataFrame) -> DataFrame:
+    """Adds the score of n-grams(doc_id, n, ngram): the static scores of the n-grams inside by their frequency, (doc_id, n, ngram, freq), for the same number of words."""
+    inside = _exploded(grams.withColumnsRenamed({"n": "of_n", "ngram": "of"}), F.split("of", " "), ["doc_id", "of_n", "of"])
+    own = inside.join(freq, ["doc_id", "n", "ngram"], "left").groupBy("doc_id", "of_n", "of").agg(F.sum(static_score(F.col("ngram"), F.coalesce("freq", F.lit(0)))).alias("score"))
+    own = own.withColumnsRenamed({"of_n": "n", "of": "ngram"})
+    return grams.join(own, ["doc_id", "n", "ngram"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def anomalies(grams: DataFrame) -> DataFrame:
     """(doc_id, n, kind, ngram, score, rank): the best intended and ambient n-grams, as many as CAPS allows for their n."""
     table = grams.groupBy("doc_id", "n", "ngram").agg(F.count("*").alias("freq"))
-    parts = table.select("doc_id", "n", "ngram", F.explode(_inner(F.col("ngram"), F.col("n"))).alias("part"))
-    freq = table.select("doc_id", F.col("ngram").alias("part"), F.col("freq").alias("f"))
-    score = parts.join(freq, ["doc_id", "part"], "left").groupBy("doc_id", "n", "ngram").agg(F.sum(static_score(F.col("part"), F.coalesce("f", F.lit(0)))).alias("score"))
+    score = intents(table.select("doc_id", "n", "ngram"), table)
     kinds = intentional(gaps(grams), lengths(grams)).select("doc_id", "n", "ngram", F.when(F.col("intentional"), "intent").otherwise("context").alias("kind"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "n", "kind").orderBy(F.desc("score"), "ngram"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "n", "kind").orderBy(F.round("score", 6).desc(), "ngram"))
     cap = F.create_map(*[F.lit(x) for kv in CAPS.items() for x in kv])
-    return score.join(kinds, ["doc_id", "n", "ngram"]).withColumn("rank", rank).where(F.col("rank") <= cap[F.col("n")])
-
-
-def _inner(ngram: Column, n: Column) -> Column:
-    """The n-grams of 2 words and more inside an n-gram that may stand alone."""
-    w = F.split(ngram, " ")
-    ends = F.array(*map(F.lit, sorted(ENDINGS)))
-    starts = F.array(*map(F.lit, sorted(STARTERS)))
-    spans = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.size(w), F.lit(2))), lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - m + 1, F.lit(1))), lambda i: F.slice(w, i, m))))
-    good = F.filter(spans, lambda p: (F.size(p) >= 2) & (F.length(p[0]) > 2) & (F.length(F.element_at(p, -1)) > 2) & ~F.array_contains(ends, F.element_at(p, -1)) & ~F.array_contains(starts, p[0]))
-    return F.transform(good, lambda p: F.array_join(p, " "))
+    return score.join(kinds, ["doc_id", "n", "ngram"]).withColumn("rank", rank).where(F.col("rank") <= cap[F.col("n")]).select("doc_id", "n", "kind", "ngram", "score", "rank")
 
 
 def partitions(grams: DataFrame) -> DataFrame:
-    """(doc_id, n, p, ngram, count) by stretches of the coherence length, the last one capped."""
-    own = grams.join(lengths(grams), "doc_id")
-    p = F.least(F.floor(F.col("sentence") / COHERENCE) + 1, F.floor(F.col("l") / COHERENCE) + 1).cast("int")
-    return own.groupBy("doc_id", "n", p.alias("p"), "ngram").agg(F.count("*").alias("count"))
+    """(doc_id, m, n, p, ngram, count) by stretches of the coherence length, the last one capped; m is how many there are."""
+    m = F.floor(F.col("l") / COHERENCE).cast("int") + 1
+    p = F.least(F.floor(F.col("sentence") / COHERENCE).cast("int") + 1, m)
+    return grams.groupBy("doc_id", m.alias("m"), "n", p.alias("p"), "ngram").agg(F.count("*").alias("count"))
 
 
 def fast_slow(grams: DataFrame) -> DataFrame:
     """(doc_id, n, p, ngram, slow): n-grams of a stretch that the next one has too are slow, the others fast; one stretch is fast."""
-    parts = partitions(grams)
-    total = grams.join(lengths(grams), "doc_id").select("doc_id", (F.floor(F.col("l") / COHERENCE) + 1).cast("int").alias("m")).distinct()
-    nxt = parts.select("doc_id", "n", (F.col("p") - 1).alias("p"), "ngram", F.lit(True).alias("again"))
-    own = parts.join(total, "doc_id").where((F.col("p") < F.col("m")) | (F.col("m") == 1))
-    return own.join(nxt, ["doc_id", "n", "p", "ngram"], "left").select("doc_id", "n", "p", "ngram", F.coalesce("again", F.lit(False)).alias("slow"))
+    nxt = F.lead("p").over(Window.partitionBy("doc_id", "n", "ngram").orderBy("p"))
+    own = partitions(grams).withColumn("slow", F.coalesce(nxt == F.col("p") + 1, F.lit(False)))
+    return own.where((F.col("p") < F.col("m")) | (F.col("m") == 1)).select("doc_id", "n", "p", "ngram", "slow")
 
 
 def coactivation(grams: DataFrame) -> DataFrame:
-    """(doc_id, n, ngram, overlap): in how many pairs of stretches an n-gram is in both; 0 is a condensate. One stretch counts once."""
-    k = partitions(grams).groupBy("doc_id", "n", "ngram").agg(F.count("*").alias("k"))
-    total = grams.join(lengths(grams), "doc_id").select("doc_id", (F.floor(F.col("l") / COHERENCE) + 1).cast("int").alias("m")).distinct()
-    pairs = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
-    return k.join(total, "doc_id").select("doc_id", "n", "ngram", F.when(F.col("m") < 2, F.lit(1).cast("bigint")).otherwise(pairs).alias("overlap"))
+    """(doc_id, n, ngram, overlap, condensate): in how many pairs of stretches an n-gram is in both, or, for one that is in one stretch only, how many stretches follow.
+
+    One that is only in the last stretch has no row. Of a single stretch everything overlaps once.
+    """
+    own = partitions(grams).groupBy("doc_id", "m", "n", "ngram").agg(F.count("*").alias("k"), F.min("p").alias("p"))
+    overlap = F.when(F.col("m") < 2, 1).otherwise(F.floor(F.col("k") * (F.col("k") - 1) / 2)).cast("bigint")
+    own = own.select("doc_id", "n", "ngram", overlap.alias("overlap"), F.when(overlap > 0, 0).otherwise(F.col("m") - F.col("p")).cast("bigint").alias("condensate"))
+    return own.where("overlap > 0 or condensate > 0")
 
 
 def intentional_tokens(grams: DataFrame, selected: DataFrame | None = None) -> DataFrame:
-    """(doc_id, p, n, kind, ngram, score, rank): the best fast and slow n-grams of each stretch.
+    """(doc_id, p, n, kind, ngram, score, rank): the best fast and slow n-grams of each stretch, and with p = 0 those of the whole document.
 
-    With selected(doc_id, fragment) only those that every selected fragment has inside.
+    The document's are those of its stretches with a score above 1; a slow one isn't fast as well. With
+    selected(doc_id, fragment), every selected fragment of the document has them inside; stretches aren't filtered.
     """
     freq = grams.groupBy("doc_id", "n", "ngram").agg(F.count("*").alias("freq"))
     own = fast_slow(grams).join(freq, ["doc_id", "n", "ngram"]).withColumn("score", static_score(F.col("ngram"), F.col("freq")))
     own = own.withColumn("kind", F.when(F.col("slow"), "slow").otherwise("fast"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "p", "n", "kind").orderBy(F.desc("score"), "ngram"))
-    out = own.withColumn("rank", rank).where(F.col("rank") <= SKIM).select("doc_id", "p", "n", "kind", "ngram", "score", "rank")
-    if selected is None:
-        return out
-    missing = out.join(selected, "doc_id").where(~F.contains("fragment", F.col("ngram"))).select("doc_id", "ngram").distinct()
-    return out.where("score > 1").join(missing, ["doc_id", "ngram"], "left_anti")
+    best = lambda *by: F.row_number().over(Window.partitionBy("doc_id", *by).orderBy(F.round("score", 6).desc(), "ngram"))
+    names = ["doc_id", "p", "n", "kind", "ngram", "score", "rank"]
+    parts = own.withColumn("rank", best("p", "n", "kind")).where(F.col("rank") <= SKIM).select(*names)
+    whole = parts.where("score > 1").groupBy("doc_id", "n", "ngram").agg(F.max("kind").alias("kind"), F.first("score").alias("score"))
+    if selected is not None:
+        missing = whole.join(selected.select("doc_id", "fragment"), "doc_id").where(~F.contains("fragment", F.col("ngram"))).select("doc_id", "n", "ngram").distinct()
+        whole = whole.join(missing, ["doc_id", "n", "ngram"], "left_anti")
+    whole = whole.withColumn("p", F.lit(0)).withColumn("rank", best("n", "kind")).where(F.col("rank") <= SKIM)
+    return parts.unionAll(whole.select(*names))
 
 
 def running_ngram_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, score) of fragments in order: a new n-gram sets the score to its length, a known one adds what it has decayed."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for d, text in zip(frame["doc_id"], frame["text"]):
-                last: dict[tuple[int, str], int] = {}
-                t = 0
-                for f in (f for p in structure(text or "") for s in p for f in s):
-                    t += 1
-                    score = 0.0
-                    for g in fragment_ngrams(f):
-                        score = float(len(g[1])) if g not in last else score + len(g[1]) * (1 - math.exp(-(t - last[g]) / COHERENCE))
-                        last[g] = t
-                    out.append((d, t, score))
-            yield pd.DataFrame(out, columns=["doc_id", "ord", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ord int, score double")
+    rows = fragment_rows(docs, cleaned=False)
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("sentence", "frag")))
+    grams = _exploded(rows, F.split("fragment", " "), ["doc_id", "ord"])
+    last = F.lag("ord").over(Window.partitionBy("doc_id", "n", "ngram").orderBy("ord", "pos"))
+    grams = grams.withColumn("last", last)
+    new = F.max(F.when(F.col("last").isNull(), F.col("pos"))).over(Window.partitionBy("doc_id", "ord"))
+    size = F.length("ngram")
+    own = F.when(F.col("last").isNull(), size).otherwise(size * (1 - F.exp(-(F.col("ord") - F.col("last")) / F.lit(float(COHERENCE)))))
+    score = grams.withColumn("new", new).where("new is null or pos >= new").groupBy("doc_id", "ord").agg(F.sum(own).alias("score"))
+    return rows.select("doc_id", "ord").join(score, ["doc_id", "ord"], "left").select("doc_id", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 # Entities and links

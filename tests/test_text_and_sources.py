@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -55,10 +57,45 @@ def test_ngrams(spark):
     assert not any(r.intentional for r in text.intentional(text.gaps(g), text.lengths(g)).collect())
     assert {r.n for r in text.anomalies(g).collect()} == {3, 4, 5}
     assert all(r.slow for r in text.fast_slow(g).collect()) and {r.overlap for r in text.coactivation(g).collect()} == {3}
-    assert {r.p for r in text.intentional_tokens(g).collect()} == {1, 2}
+    assert {r.p for r in text.intentional_tokens(g).collect()} == {0, 1, 2}
+    chosen = spark.createDataFrame([(1, "the fast engine turns"), (1, "a fast engine")], "doc_id long, fragment string")
+    some = text.intentional_tokens(g, chosen).collect()
+    assert {r.ngram for r in some if r.p == 0} == {"fast engine"} and {r.p for r in some} == {0, 1, 2}
     assert text.running_ngram_scores(d).count() == 100
 
 
+def test_ngrams_against_single_steps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = []
+    for r in docs.collect():
+        own = re.sub(r"[\[\]]", "", re.sub(r"<[^>]*>", ":\n", r.text or ""))
+        parts = [s for p in text.structure(own) for s in p]
+        want += [(r.doc_id, len(parts), k, n, g) for k, s in enumerate(parts, 1) for f in s for n, g in text.fragment_ngrams(f)]
+    got = [tuple(r) for r in text.ngrams(docs).select("doc_id", "l", "sentence", "n", "ngram").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_stretches_of_a_document(spark):
+    """Co-activation as in a list of stretches, one after the other."""
+    rng, rows = random.Random(2), []
+    for doc, sentences in ((1, 30), (2, 140), (3, 300)):
+        rows += [(doc, sentences, rng.randrange(1, sentences + 1), 0, 0, 2, rng.choice("abcdefghijklmnopqrstuvwxyz")) for _ in range(60)]
+    g = spark.createDataFrame(rows, "doc_id long, l int, sentence int, frag int, pos int, n int, ngram string")
+    want = set()
+    for doc in (1, 2, 3):
+        own = [r for r in rows if r[0] == doc]
+        m = own[0][1] // 45 + 1
+        sets = [{r[6] for r in own if min(r[2] // 45, m - 1) == p} for p in range(m)]
+        for x in set().union(*sets):
+            both = sum(x in sets[i] and x in sets[j] for i in range(m) for j in range(i + 1, m))
+            alone = sum(x in sets[i] for i in range(m) for _ in range(i + 1, m)) if not both else 0
+            if m < 2:
+                want.add((doc, 2, x, 1, 0))
+            elif both or alone:
+                want.add((doc, 2, x, both, alone))
+    assert {tuple(r) for r in text.coactivation(g).collect()} == want
+
+
 def test_entities():
     found = text.find_entities('On 2024-01-05 we met Alice in March. The "big plan" needs motion and a garden.')
     kinds = {e[0]: e[1] for e in found}
