@@ -65,7 +65,7 @@ def running_ranks(s: DataFrame) -> DataFrame:
 def select_top(ranks: DataFrame, percent: float) -> DataFrame:
     """The top share of each document's sentences, one at least; of equal scores the earlier first."""
     by = Window.partitionBy("doc_id")
-    nth = F.row_number().over(by.orderBy(F.desc("score"), "ord"))
+    nth = F.row_number().over(by.orderBy(F.round("score", 6).desc(), "ord"))
     most = F.greatest(F.lit(1), F.bround(F.count("*").over(by) * percent / 100).cast("int"))
     return ranks.withColumn("nth", nth).withColumn("most", most).where("nth <= most").drop("nth", "most")
 

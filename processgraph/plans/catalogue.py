@@ -51,11 +51,6 @@ def n_channel_docs(spark, sf):
     return read(spark, sf, "documents").select("doc_id", s["len"].cast("bigint").alias("len"), s["class"].cast("bigint").alias("class"))
 
 
-@query("SELECT DISTINCT p_brand AS chapter FROM part")
-def chapters_list(spark, sf):
-    return V.parts(spark, sf).select("chapter").distinct()
-
-
 @query("SELECT p_brand AS chapter, count(*) AS n FROM part GROUP BY 1")
 def chapter_counts(spark, sf):
     return V.parts(spark, sf).groupBy("chapter").agg(F.count("*").alias("n"))
@@ -71,37 +66,12 @@ def text_search_docs(spark, sf):
     return read(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("there"))).select("doc_id", "n_chars")
 
 
-@query("SELECT p_partkey AS nid, p_brand AS chapter FROM part WHERE p_name = 'red widget'")
-def search_exact(spark, sf):
-    return V.parts(spark, sf).where(F.col("text") == "red widget").select("nid", "chapter")
-
-
-@query("SELECT p_partkey AS nid, p_name AS text FROM part WHERE regexp_matches(p_name, '^(red|blue) [a-g]')")
-def find_nodes_regex(spark, sf):
-    return V.parts(spark, sf).where(F.col("text").rlike("^(red|blue) [a-g]")).select("nid", "text")
-
-
-@query("SELECT p_partkey AS nid, p_name AS text FROM part WHERE p_brand LIKE '%1%' ORDER BY 1 LIMIT 100")
-def chapter_nodes(spark, sf):
-    return V.parts(spark, sf).where(F.contains("chapter", F.lit("1"))).select("nid", "text").orderBy("nid").limit(100)
-
-
-@query(f"WITH {GEO}, {GEO_NODES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM geo) AS links")
-def graph_stats(spark, sf):
-    return V.geo_nodes(spark, sf).agg(F.count("*").alias("nodes")).crossJoin(V.geo(spark, sf).agg(F.count("*").alias("links")))
-
-
 @query(f"WITH {GEO} SELECT stindex::BIGINT AS stindex, CASE stindex WHEN 6 THEN '+CONTAINS' ELSE '-CONTAINS' END AS label, CASE stindex WHEN 6 THEN 'Ic2' ELSE 'Im2' END AS channel, count(*) AS n FROM geo GROUP BY ALL")
 def channels(spark, sf):
     st = F.col("stindex")
     return V.geo(spark, sf).groupBy(st.cast("bigint").alias("stindex"), S.stindex_label(st).alias("label"), S.channel_name(st - 4).alias("channel")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT class, max(cptr) AS top FROM (SELECT CASE WHEN p_size < 20 THEN 1::BIGINT ELSE 2::BIGINT END AS class, p_partkey AS cptr FROM part) GROUP BY class")
-def top_pointers(spark, sf):
-    return read(spark, sf, "part").groupBy(F.when(F.col("p_size") < 20, 1).otherwise(2).cast("bigint").alias("class")).agg(F.max("p_partkey").alias("top"))
-
-
 @query("SELECT doc_id, list_aggregate(list_sort(list_distinct([lang, source, 'any'])), 'string_agg', ',') AS context FROM documents")
 def context_strings(spark, sf):
     labels = F.array(F.concat(F.lit(" "), "lang", F.lit("  ")), "source", F.lit("any"), F.lit(""), "lang")
@@ -173,19 +143,14 @@ def match_contexts(spark, sf):
     return links.where(S.match_contexts(["click", "Friday"], F.col("labels"))).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {GEO} SELECT DISTINCT src AS node FROM geo WHERE stindex = 6 AND arr = 1")
-def nodes_by_arrow(spark, sf):
-    return V.geo(spark, sf).where("stindex = 6 and arr = 1").select(F.col("src").alias("node")).distinct()
-
-
 @query(f"WITH {EVT} SELECT src AS node, CASE WHEN bool_or(stindex = 5) THEN 'source' ELSE 'sink' END AS role FROM evt GROUP BY 1 HAVING bool_or(stindex = 5) <> bool_or(stindex = 3)")
 def singletons(spark, sf):
     return A.singletons(V.evt(spark, sf), [1])
 
 
-@query(f"WITH {GEO} SELECT src AS node, count(*) AS n, string_agg(dst, ',' ORDER BY ord) AS members FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord, dst) AS nth FROM geo WHERE arr = 1) WHERE nth <= 5 GROUP BY 1")
+@query(f"WITH {GEO} SELECT src AS node, count(*) AS n, string_agg(dst, ',' ORDER BY ord) AS members FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord, dst) AS nth FROM geo WHERE arr = 1) WHERE nth <= 100 GROUP BY 1")
 def appointed_by_arrow(spark, sf):
-    return A.appointed_by_arrow(V.geo(spark, sf), 2, {1: 2, 2: 1}, 5).select("node", "n", F.array_join("members", ",").alias("members"))
+    return A.appointed_by_arrow(V.geo(spark, sf), 2, {1: 2, 2: 1}, 100).select("node", "n", F.array_join("members", ",").alias("members"))
 
 
 @query(f"WITH {GEO} SELECT src AS node, count(*) AS n, string_agg(dst, ',' ORDER BY ord) AS members FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord, dst) AS nth FROM geo WHERE stindex = 2) WHERE nth <= 100 GROUP BY 1")
@@ -220,12 +185,6 @@ def _index(spark, sf):
     return index_tables(tables, config)
 
 
-@query("SELECT 's:' || s_suppkey AS src, 'n:' || s_nationkey AS dst, 'note' AS arrow FROM supplier UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, 'isnote' FROM supplier")
-def edges_with_inverses(spark, sf):
-    own = V.both(read(spark, sf, "supplier"), V.key("s", "s_suppkey"), V.key("n", "s_nationkey"), 7, 1, F.col("s_suppkey"))
-    return own.select("src", "dst", F.when(F.col("arr") == 1, "note").otherwise("isnote").alias("arrow"))
-
-
 @query("SELECT n_name AS src, 'hub' AS dst, CASE WHEN n_nationkey < 3 THEN [0.5, 2.0, 4.0][n_nationkey + 1] ELSE 1.0 END::DOUBLE AS wgt FROM nation")
 def hub_join(spark, sf):
     from processgraph.graph import hub_join as hub
@@ -234,11 +193,6 @@ def hub_join(spark, sf):
     return hub(members, "hub", "has", [0.5, 2.0, 4.0]).select("src", "dst", F.col("wgt").cast("double").alias("wgt"))
 
 
-@query(f"WITH {GEO} SELECT src AS node, count(DISTINCT dst) AS n FROM geo GROUP BY 1")
-def neighbors(spark, sf):
-    return V.geo(spark, sf).select("src", "dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {GEO} SELECT src, dst FROM geo WHERE src IN ('n:1', 'n:2') AND stindex = 6 AND arr = 1 ORDER BY src, ord LIMIT 40")
 def one_hop_constrained(spark, sf):
     out = paths.one_hop(V.geo(spark, sf), ["n:1", "n:2"], arrows=[1], limit=40)
@@ -316,14 +270,14 @@ def find_paths(spark, sf):
     return paths.find_paths(V.geo(spark, sf), "r:3", end, 3).select(joined().alias("path"))
 
 
-@query("""WITH p AS (SELECT user_id AS path_id, event_type AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events QUALIFY i < 6),
+@query("""WITH p AS (SELECT user_id AS path_id, event_type AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
 f AS (SELECT path_id, node, min(i) AS a FROM p GROUP BY ALL)
-SELECT p.path_id, p.i::BIGINT AS i, (SELECT string_agg(node, '>' ORDER BY i) FROM p x WHERE x.path_id = p.path_id AND x.i BETWEEN f.a AND p.i) AS loop FROM p JOIN f ON f.path_id = p.path_id AND f.node = p.node AND p.i > f.a""")
+SELECT p.path_id, p.i::BIGINT AS i, array_to_string(w.nodes[f.a + 1:p.i + 1], '>') AS loop FROM p JOIN f ON f.path_id = p.path_id AND f.node = p.node AND p.i > f.a JOIN (SELECT path_id, list(node ORDER BY i) AS nodes FROM p GROUP BY 1) w ON w.path_id = p.path_id""")
 def path_loops(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf, "events").withColumn("i", F.row_number().over(w)).where("i <= 6")
+    e = read(spark, sf, "events").withColumn("i", F.row_number().over(w))
     p = e.groupBy(F.col("user_id").alias("path_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda x: x["event_type"]).alias("path"))
     return paths.path_loops(p).select("path_id", F.col("i").cast("bigint").alias("i"), F.array_join("loop", ">").alias("loop"))
 
@@ -355,9 +309,9 @@ def dijkstra(spark, sf):
     return paths.shortest(V.geo(spark, sf), "r:1").select("node", "distance")
 
 
-@query(f"WITH {ORD}, firsts AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT 'o:' || a.o_orderkey AS root, (b.n - a.n)::BIGINT AS step, 'o:' || b.o_orderkey AS node FROM firsts a JOIN firsts b USING (o_custkey) WHERE b.n > a.n AND b.n - a.n <= 5")
+@query(f"WITH {ORD}, firsts AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT 'o:' || a.o_orderkey AS root, (b.n - a.n)::BIGINT AS step, 'o:' || b.o_orderkey AS node FROM firsts a JOIN firsts b USING (o_custkey) WHERE b.n > a.n AND b.n - a.n <= 100")
 def axial_paths(spark, sf):
-    return paths.axial_paths(V.orders(spark, sf), 3, 5).select("root", F.col("step").cast("bigint").alias("step"), "node")
+    return paths.axial_paths(V.orders(spark, sf), 3, 100).select("root", F.col("step").cast("bigint").alias("step"), "node")
 
 
 @query("WITH f AS (SELECT 'o:' || o_orderkey AS node, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS step FROM orders WHERE o_custkey = 7) SELECT step, node FROM f WHERE step > 0")
@@ -438,7 +392,7 @@ def evc_k_iterations(spark, sf):
 
 @query()
 def eigenvector_centrality(spark, sf):
-    return A.eigenvector(A.adjacency(V.geo(spark, sf)), 30).select("node", F.round("evc", 6).alias("evc"))
+    return A.eigenvector(A.adjacency(V.geo(spark, sf))).select("node", F.round("evc", 6).alias("evc"))
 
 
 @query("""WITH d AS (SELECT n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS leaves FROM nation)
@@ -447,17 +401,16 @@ def betweenness(spark, sf):
     return A.betweenness(A.adjacency(V.geo(spark, sf), [1])).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query("""WITH t AS (SELECT DISTINCT a.event_type AS src, b.event_type AS dst FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) a JOIN events b ON b.event_id = a.nxt),
-c1 AS (SELECT src AS cycle FROM t WHERE src = dst), c2 AS (SELECT a.src || '>' || a.dst AS cycle FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst),
-c3 AS (SELECT a.src || '>' || b.src || '>' || c.src AS cycle FROM t a JOIN t b ON a.dst = b.src JOIN t c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src)
-SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3""")
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT a.event_type AS src, b.event_type AS dst FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) a JOIN events b ON b.event_id = a.nxt),
+walk AS (SELECT src AS root, dst AS tip, [src] AS path FROM t WHERE dst >= src UNION ALL SELECT root, t.dst, list_append(path, tip) FROM walk JOIN t ON t.src = tip WHERE tip <> root AND t.dst >= root AND NOT list_contains(path, tip))
+SELECT array_to_string(path, '>') AS cycle FROM walk WHERE tip = root""")
 def cycles_bounded(spark, sf):
     from pyspark.sql import Window
 
     e = read(spark, sf, "events")
     nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     adj = e.select(F.col("event_type").alias("src"), nxt.alias("dst")).where("dst is not null").distinct()
-    return A.cycles(adj, 3).select(F.array_join("cycle", ">").alias("cycle"))
+    return A.cycles(adj, 5).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query(f"WITH {GEO} SELECT DISTINCT a.src, b.dst FROM geo a JOIN geo b ON b.src = a.dst AND b.arr = 1 WHERE a.arr = 1 AND a.src <> b.dst")
@@ -473,9 +426,9 @@ def closeness(spark, sf):
     return A.closeness(near).select("src", "dst")
 
 
-@query("WITH t AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 6 AND regexp_full_match(w, '[A-Za-z]+')) SELECT a.w AS a, b.w AS b FROM t a JOIN t b ON lower(a.w) = lower(b.w) AND a.w <> b.w")
+@query("WITH t AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)), v AS (SELECT w, lower(w) AS k FROM t) SELECT a.w AS a, b.w AS b FROM v a JOIN v b ON a.k = b.k AND a.w <> b.w")
 def caps_variants(spark, sf):
-    w = read(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("text")).where("length(text) between 2 and 6").where(F.col("text").rlike("^[A-Za-z]+$")).distinct()
+    w = read(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("text")).distinct()
     nodes = w.withColumn("class", S.n_channel(F.col("text"))).withColumn("nid", F.col("text"))
     return A.caps_variants(nodes)
 
@@ -572,50 +525,114 @@ def significant_static(spark, sf):
     return text.select_top(ranks, 25.0).select("doc_id", F.col("ord").cast("bigint").alias("ord"))
 
 
-@query()
-def significant_sentences(spark, sf):
-    return text.significant(read(spark, sf, "documents"))
-
-
-@query()
-def text_to_notes(spark, sf):
-    return text.to_notes(read(spark, sf, "documents"), "documents")
-
-
-@query()
+def _ngram_sql(source: str) -> str:
+    """frag(d, l, sentence, frag, f) and gram(d, l, sentence, frag, i, n, g) of a text expression: quotes by parity, sentence ends by pointers, brackets by recursion."""
+    pure = """lower(trim(trim(replace(regexp_replace(regexp_replace({}, '---.*', '', 'g'), '["—“”!?`,.:;()_]+', '', 'g'), '  ', ' '), '-'), ''''))"""
+    closer = "CASE c WHEN '(' THEN ')' WHEN '[' THEN ']' WHEN '{' THEN '}' ELSE '' END"
+    ends, starts = (", ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" for x in sorted(w)) for w in (text.ENDINGS, text.STARTERS))
+    blank = r"[\s\x{a0}\x{85}]+"
+
+    def strip(x: str) -> str:
+        return f"regexp_replace({x}, '^{blank}|{blank}$', '', 'g')"
+
+    plain = f"translate({strip('p')}, chr(10) || chr(9) || '“”`’', '  \"\"{chr(39) * 4}')"
+    even = "x || repeat('\"', (len(x) - len(replace(x, '\"', ''))) % 2)"
+    return rf"""par AS MATERIALIZED (SELECT d, pi, row_number() OVER () AS pid, {strip(plain)} AS s FROM (SELECT doc_id AS d, generate_subscripts(ps, 1) AS pi, unnest(ps) AS p FROM (SELECT doc_id, string_split({source}, chr(10) || chr(10)) AS ps FROM documents WHERE text IS NOT NULL))),
+sign AS (SELECT pid, pos, c, sum((c = '''')::INT) OVER o % 2 + sum((c = '"')::INT) OVER o % 2 AS open FROM (SELECT pid, generate_subscripts(cs, 1) AS pos, unnest(cs) AS c FROM (SELECT pid, string_split(s, '') AS cs FROM par WHERE strlen(s) >= 100)) WINDOW o AS (PARTITION BY pid ORDER BY pos)),
+stop AS MATERIALIZED (SELECT pid, pos, min(pos) OVER (PARTITION BY pid ORDER BY pos RANGE BETWEEN 21 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM (SELECT pid, 0 AS pos FROM par WHERE strlen(s) >= 100 UNION ALL SELECT pid, pos FROM sign WHERE open = 0 AND c IN ('!', '.', '。'))),
+hop(pid, pos, nxt) AS (SELECT pid, pos, nxt FROM stop WHERE pos = 0 UNION ALL SELECT s.pid, s.pos, s.nxt FROM hop h JOIN stop s ON s.pid = h.pid AND s.pos = h.nxt),
+cutup AS (SELECT d, pi, pid, 0 AS pos, s AS x FROM par WHERE strlen(s) < 100 AND s <> '' UNION ALL SELECT d, pi, pid, pos, CASE WHEN nxt IS NULL THEN substr(s, pos + 1) ELSE substr(s, pos + 1, nxt - pos) END FROM hop JOIN par USING (pid)),
+sen AS MATERIALIZED (SELECT d, row_number() OVER () AS sid, row_number() OVER (PARTITION BY d ORDER BY pi, pos) AS sentence, count(*) OVER (PARTITION BY d) AS l, {strip(even)} AS x FROM cutup WHERE x <> '' AND {strip('x')} <> ''),
+br AS MATERIALIZED (SELECT sid, row_number() OVER o AS k, pos, c, sum((c = '(')::INT - (c = ')')::INT) OVER o AS d1, sum((c = '[')::INT - (c = ']')::INT) OVER o AS d2, sum((c = '{{')::INT - (c = '}}')::INT) OVER o AS d3
+  FROM (SELECT sid, generate_subscripts(cs, 1) AS pos, unnest(cs) AS c FROM (SELECT sid, string_split(x, '') AS cs FROM sen WHERE regexp_matches(x, '[()\[\]{{}}]'))) WHERE c IN ('(', ')', '[', ']', '{{', '}}') WINDOW o AS (PARTITION BY sid ORDER BY pos)),
+bal(sid, k, waiting, start, piece) AS (SELECT sid, 0, '', 1, NULL::VARCHAR FROM sen UNION ALL
+  SELECT e.sid, e.k, CASE WHEN c IN ('(', '[', '{{') THEN CASE WHEN waiting = '' THEN {closer} ELSE waiting END WHEN done THEN '' ELSE waiting END,
+    CASE WHEN c IN ('(', '[', '{{') THEN CASE WHEN waiting = '' THEN pos ELSE start END WHEN done THEN pos + 1 ELSE start END,
+    CASE WHEN c IN ('(', '[', '{{') THEN CASE WHEN waiting = '' THEN trim(substr(x, start, pos - start)) END WHEN done THEN substr(x, start, pos - start + 1) END
+  FROM (SELECT b.waiting, b.start, e.*, CASE b.waiting WHEN ')' THEN d1 WHEN ']' THEN d2 WHEN '}}' THEN d3 ELSE 0 END = 0 AS done FROM bal b JOIN br e ON e.sid = b.sid AND e.k = b.k + 1) e JOIN sen USING (sid)),
+piece AS (SELECT sid, k, piece FROM bal WHERE piece <> '' UNION ALL SELECT sid, 1000000000, trim(substr(x, start)) FROM (SELECT sid, arg_max(start, k) AS start FROM bal GROUP BY sid) JOIN sen USING (sid)),
+frags AS (SELECT sid, k, generate_subscripts(fs, 1) AS j, unnest(fs) AS f FROM (SELECT sid, k, CASE WHEN left(piece, 1) || right(piece, 1) IN ('()', '[]', '{{}}') THEN [piece]
+  ELSE list_filter(list_transform(regexp_split_to_array(trim(piece), '["—“”!?,:;]+[ \n]'), lambda y: {strip('y')}), lambda y: len(y) > 1) END AS fs FROM piece WHERE piece <> '')),
+frag AS MATERIALIZED (SELECT d, l, sentence, row_number() OVER (PARTITION BY sid ORDER BY k, j) - 1 AS frag, f FROM frags JOIN sen USING (sid) WHERE strlen({strip('f')}) > 2),
+spelt AS (SELECT *, list_transform(w, lambda y: {pure.format('y')}) AS cw FROM (SELECT *, string_split(f, ' ') AS w FROM frag)),
+gram AS MATERIALIZED (SELECT d, l, sentence, frag, i, n, {pure.format("array_to_string(w[i - n + 1:i], ' ')")} AS g FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM spelt), (SELECT unnest([2, 3, 4, 5]) AS n)
+  WHERE n <= i AND len(cw[i]) > 2 AND len(cw[i - n + 1]) > 2 AND cw[i] NOT IN ({ends}) AND cw[i - n + 1] NOT IN ({starts}))"""
+
+
+_GRAM = "WITH RECURSIVE " + _ngram_sql(r"regexp_replace(regexp_replace(text, '<[^>]*>', ':' || chr(10), 'g'), '[\[\]]', '', 'g')")
+_STATIC = "CASE WHEN {0} < 2 THEN 0 ELSE {0} * length({1}) / (1 + exp({0} / 45.0::DOUBLE - 1.0::DOUBLE / 30)) END"
+_GAP = """, gap AS (SELECT d, n, g, l, count(*) AS occurrences, least(99, min(gap)) AS min_gap, max(gap) AS max_gap FROM (SELECT *, sentence - lag(sentence, 1, 0) OVER (PARTITION BY d, n, g ORDER BY sentence) AS gap FROM gram) GROUP BY ALL)"""
+_STRETCH = """, stretch AS (SELECT d, (l // 45 + 1)::INT AS m, n, least(sentence // 45, l // 45)::INT + 1 AS p, g FROM gram GROUP BY ALL)"""
+_FAST = _STRETCH + """, fs AS (SELECT s.d, s.m, s.n, s.p, s.g, EXISTS (SELECT 1 FROM stretch t WHERE t.d = s.d AND t.n = s.n AND t.g = s.g AND t.p = s.p + 1) AS slow FROM stretch s WHERE s.p < s.m OR s.m = 1)"""
+
+
+@query(_GRAM + " SELECT d AS doc_id, n, g AS ngram, count(*)::DOUBLE AS freq, string_agg(sentence, ',' ORDER BY sentence) AS locations FROM gram GROUP BY ALL")
 def ngram_frequencies(spark, sf):
-    return text.ngram_table(text.ngrams(read(spark, sf, "documents")))
+    return text.ngram_table(text.ngrams(read(spark, sf, "documents"))).withColumn("locations", F.array_join("locations", ","))
 
 
-@query()
+@query(_GRAM + _GAP + " SELECT d AS doc_id, n, g AS ngram, occurrences, min_gap::INT AS min_gap, max_gap::INT AS max_gap, l::INT AS l, l < 45 OR occurrences < 2 OR max_gap > min_gap + 45 AS intentional FROM gap")
 def ngram_gaps(spark, sf):
     g = text.ngrams(read(spark, sf, "documents"))
     return text.intentional(text.gaps(g), text.lengths(g))
 
 
-@query()
+@query(
+    _GRAM
+    + _GAP
+    + f""", own AS (SELECT d, n, g, count(*) AS freq FROM gram GROUP BY ALL), w AS (SELECT d, n, g, string_split(g, ' ') AS w FROM own), cw AS (SELECT *, list_transform(w, lambda y: lower(trim(trim(replace(regexp_replace(regexp_replace(y, '---.*', '', 'g'), '["—“”!?`,.:;()_]+', '', 'g'), '  ', ' '), '-'), ''''))) AS cw FROM w),
+inside AS (SELECT d, n, g, k, lower(trim(trim(replace(array_to_string(w[i - k + 1:i], ' '), '  ', ' '), '-'), '''')) AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM cw), (SELECT unnest([2, 3, 4, 5]) AS k)
+  WHERE k <= i AND len(cw[i]) > 2 AND len(cw[i - k + 1]) > 2 AND cw[i] NOT IN ({", ".join(repr(x) if chr(39) not in x else "'it''s'" for x in sorted(text.ENDINGS))}) AND cw[i - k + 1] NOT IN ({", ".join(map(repr, sorted(text.STARTERS)))})),
+sig AS (SELECT i.d, i.n, i.g, sum({_STATIC.format("coalesce(o.freq, 0)", "i.x")}) AS score FROM inside i LEFT JOIN own o ON o.d = i.d AND o.n = i.k AND o.g = i.x GROUP BY ALL),
+r AS (SELECT d, n, CASE WHEN l < 45 OR occurrences < 2 OR max_gap > min_gap + 45 THEN 'intent' ELSE 'context' END AS kind, g, coalesce(score, 0) AS score FROM gap LEFT JOIN sig USING (d, n, g))
+SELECT d AS doc_id, n, kind, g AS ngram, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY d, n, kind ORDER BY round(score, 6) DESC, g)::INT AS rank FROM r) WHERE rank <= CASE n WHEN 2 THEN 0 WHEN 5 THEN 45 ELSE 150 END"""
+)
 def ngram_anomalies(spark, sf):
-    return text.anomalies(text.ngrams(read(spark, sf, "documents")))
+    return text.anomalies(text.ngrams(read(spark, sf, "documents"))).withColumn("score", F.round("score", 4))
 
 
-@query()
+@query(_GRAM + _FAST + " SELECT d AS doc_id, n, p, g AS ngram, slow FROM fs")
 def fast_slow(spark, sf):
     return text.fast_slow(text.ngrams(read(spark, sf, "documents")))
 
 
-@query()
+@query(
+    _GRAM
+    + _STRETCH
+    + """, pair AS (SELECT a.d, a.m, a.n, a.g, sum((EXISTS (SELECT 1 FROM stretch b WHERE b.d = a.d AND b.n = a.n AND b.g = a.g AND b.p = q.q))::INT) AS shared, count(*) AS n_pairs FROM stretch a, (SELECT unnest(range(1, 4000)) AS q) q WHERE q.q > a.p AND q.q <= a.m GROUP BY ALL)
+SELECT d AS doc_id, n, g AS ngram, 1::BIGINT AS overlap, 0::BIGINT AS condensate FROM stretch WHERE m < 2
+UNION ALL SELECT d, n, g, shared::BIGINT, CASE WHEN shared > 0 THEN 0 ELSE n_pairs END FROM pair"""
+)
 def coactivation(spark, sf):
     return text.coactivation(text.ngrams(read(spark, sf, "documents")))
 
 
-@query()
+@query(
+    _GRAM
+    + _FAST
+    + f""", own AS (SELECT d, n, g, count(*) AS freq FROM gram GROUP BY ALL), sc AS (SELECT *, {_STATIC.format("freq", "g")} AS score, CASE WHEN slow THEN 'slow' ELSE 'fast' END AS kind FROM fs JOIN own USING (d, n, g)),
+part AS MATERIALIZED (SELECT * FROM (SELECT d, p, n, kind, g, score, row_number() OVER (PARTITION BY d, p, n, kind ORDER BY round(score, 6) DESC, g) AS rank FROM sc) WHERE rank <= 15),
+sel AS (SELECT d, f FROM frag WHERE sentence = 1), whole AS (SELECT d, n, max(kind) AS kind, g, any_value(score) AS score FROM part p WHERE score > 1 AND NOT EXISTS (SELECT 1 FROM sel WHERE sel.d = p.d AND NOT contains(sel.f, p.g)) GROUP BY d, n, g)
+SELECT d AS doc_id, p, n, kind, g AS ngram, round(score, 4) AS score, rank::INT AS rank FROM part
+UNION ALL SELECT * FROM (SELECT d, 0, n, kind, g, round(score, 4), row_number() OVER (PARTITION BY d, n, kind ORDER BY round(score, 6) DESC, g)::INT AS rank FROM whole) WHERE rank <= 15"""
+)
 def intentional_tokens(spark, sf):
-    return text.intentional_tokens(text.ngrams(read(spark, sf, "documents")))
-
-
-@query()
+    """The fragments of the first sentence are the selected ones."""
+    docs = read(spark, sf, "documents")
+    first = text.fragment_rows(docs).where("sentence = 1").select("doc_id", "fragment")
+    return text.intentional_tokens(text.ngrams(docs), first).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "WITH RECURSIVE "
+    + _ngram_sql("text")
+    + """, t AS (SELECT d, sentence, frag, row_number() OVER (PARTITION BY d ORDER BY sentence, frag) AS ord FROM frag), o AS (SELECT t.ord, gram.*, i * 10 + n AS pos FROM gram JOIN t USING (d, sentence, frag)),
+seen AS (SELECT *, lag(ord) OVER (PARTITION BY d, n, g ORDER BY ord, pos) AS last FROM o), new AS (SELECT d, ord, max(pos) FILTER (last IS NULL) AS new FROM seen GROUP BY ALL),
+sc AS (SELECT d, ord, sum(CASE WHEN last IS NULL THEN length(g) ELSE length(g) * (1 - exp(-(ord - last) / 45.0::DOUBLE)) END) AS score FROM seen JOIN new USING (d, ord) WHERE new IS NULL OR pos >= new GROUP BY ALL)
+SELECT d AS doc_id, ord::INT AS ord, round(coalesce(score, 0), 4) AS score FROM t LEFT JOIN sc USING (d, ord)"""
+)
 def running_ngrams(spark, sf):
-    return text.running_ngram_scores(read(spark, sf, "documents"))
+    return text.running_ngram_scores(read(spark, sf, "documents")).withColumn("score", F.round("score", 4))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ':' || chr(10), 'g'), '[\[\]]', '', 'g') AS text FROM pages")
@@ -623,12 +640,6 @@ def clean_html(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("text"))
 
 
-@query(r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}_])([a-z]+(?:ment|ness|tion))\b', 1))) AS text FROM documents WHERE lang = 'en'")
-def entities_suffix(spark, sf):
-    docs = read(spark, sf, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|[^\p{L}\p{N}_])([a-z]+(?:ment|ness|tion))\b"), F.lit(1)))).alias("text"))
-
-
 @query()
 def entities(spark, sf):
     return text.entities(read(spark, sf, "documents"))
@@ -733,7 +744,7 @@ def _enc(c: str) -> str:
     return f"replace({c}, ' ', '_')"
 
 
-@query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT nid, text, chapter, 'http://example.org/graph/node/' || replace(url_encode({_enc('text')}), '*', '%2A') AS uri FROM nodes WHERE chapter IN ('region', 'nation')), v AS (SELECT 'http://example.org/graph/vocab#' AS b)
+@query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT nid, text, chapter, 'http://example.org/graph/node/' || replace(url_encode({_enc('text')}), '*', '%2A') AS uri FROM nodes), v AS (SELECT 'http://example.org/graph/vocab#' AS b)
 SELECT uri AS subject, '{RDF_TYPE}' AS predicate, b || 'Node' AS object FROM u, v UNION ALL SELECT uri, '{RDF_LABEL}', text FROM u UNION ALL SELECT uri, b || 'chapter', 'http://example.org/graph/chapter/' || chapter FROM u, v
 UNION ALL SELECT a.uri, b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, c.uri FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst
 UNION ALL SELECT b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, '{RDF_TYPE}', b || 'Contains' FROM v, geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst
@@ -741,36 +752,34 @@ UNION ALL SELECT b || CASE arr WHEN 1 THEN 'contain' ELSE 'belong' END, '{RDF_LA
 def rdf_triples(spark, sf):
     from processgraph.sources.rdf import triples
 
-    return triples(_small(spark, sf))
+    return triples(_exported(spark, sf))
 
 
-def _small(spark, sf):
-    """Regions and nations as a graph of its own."""
+def _exported(spark, sf):
+    """GEO as a graph."""
     from processgraph.graph import Graph
     from processgraph.registry import Registry
 
     r = Registry()
     r.pair("contains", "contain", "contains", "belong", "belongs to")
-    nodes = V.geo_nodes(spark, sf).where("chapter in ('region', 'nation')").withColumn("len", F.length("text")).withColumn("ord", F.col("cptr"))
-    ids = F.broadcast(nodes.select("nid"))
-    links = V.geo(spark, sf).join(ids.select(F.col("nid").alias("src")), "src", "left_semi").join(ids.select(F.col("nid").alias("dst")), "dst", "left_semi")
-    return Graph(spark, r, nodes, links, nodes.select("chapter").distinct(), spark.createDataFrame([], "chapter string"))
+    nodes = V.geo_nodes(spark, sf).withColumn("len", F.length("text")).withColumn("ord", F.col("cptr"))
+    return Graph(spark, r, nodes, V.geo(spark, sf), nodes.select("chapter").distinct(), spark.createDataFrame([], "chapter string"))
 
 
-@query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT * FROM nodes WHERE chapter IN ('region', 'nation')) SELECT '"' || text || '" <x:contain> "' || d || '" .' AS line FROM (SELECT a.text, c.text AS d FROM geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst WHERE arr = 1)""")
+@query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT * FROM nodes) SELECT '"' || text || '" <x:contain> "' || d || '" .' AS line FROM (SELECT a.text, c.text AS d FROM geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst WHERE arr = 1)""")
 def turtle_lines(spark, sf):
     from processgraph.sources.rdf import turtle_lines as lines
 
-    named = _small(spark, sf).named_links().where("arr = 1")
+    named = _exported(spark, sf).named_links().where("arr = 1")
     t = named.select(F.col("src_text").alias("subject"), F.lit("x://contain").alias("predicate"), F.col("dst_text").alias("object"))
     return lines(t).select(F.replace("line", F.lit("x://"), F.lit("x:")).alias("line"))
 
 
-@query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT * REPLACE (len(string_split(text, ' ')) AS class), 'n' || len(string_split(text, ' ')) || '_' || cptr AS id FROM nodes WHERE chapter IN ('region', 'nation')) SELECT '  ' || id || ' [label="' || text || '"];' AS line FROM u UNION ALL SELECT '  ' || a.id || ' -> ' || c.id || ' [label="contain", color=green];' FROM geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst WHERE arr = 1""")
+@query(f"""WITH {GEO}, {GEO_NODES}, u AS (SELECT * REPLACE (len(string_split(text, ' ')) AS class), 'n' || len(string_split(text, ' ')) || '_' || cptr AS id FROM nodes) SELECT '  ' || id || ' [label="' || text || '"];' AS line FROM u UNION ALL SELECT '  ' || a.id || ' -> ' || c.id || ' [label="contain", color=green];' FROM geo JOIN u a ON a.nid = src JOIN u c ON c.nid = dst WHERE arr = 1""")
 def dot_lines(spark, sf):
     from processgraph.sources.rdf import dot_lines as lines
 
-    return lines(_small(spark, sf)).select("line")
+    return lines(_exported(spark, sf)).select("line")
 
 
 @query("SELECT 'conversation ' || conv_id AS chapter, turn::BIGINT AS line FROM conversations WHERE role = 'user' ORDER BY chapter, line LIMIT 60 OFFSET 60")
@@ -817,3 +826,6 @@ def notes_compile(spark, sf):
     rows = parse_files(n.select(F.col("n_nationkey").cast("string").alias("path"), text_.alias("content")), r)
     count = lambda kind: F.sum((F.col("kind") == kind).cast("int")).cast("int")
     return rows.groupBy(F.col("path").cast("bigint").alias("id")).agg(count("node").alias("nodes"), count("link").alias("links"), count("error").alias("errors"))
+
+
+from processgraph.plans import built  # noqa: E402,F401  its queries join the others
