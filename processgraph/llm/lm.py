@@ -33,6 +33,8 @@ from processgraph.llm.textnp import U64, chunks, mix, utf8, word_hashes, words
 
 ORDER, BASE, HASHES, BITS, SEGMENT, MASS, LIMIT_MB = 5, 1.5, 6, 14, 1 << 20, 4.0, 1024
 WORDS, BUCKET_BITS, KEY_BITS = 3, 12, 40
+#: Of the filter of words: hashes, bits for each stored pair, and bytes that are broadcast at a time.
+WORD_HASHES, WORD_BITS, SHARE = 4, 10, 16 << 20
 
 
 def codes(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -117,20 +119,40 @@ def segment_bits(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 class WordFilter:
-    """A filter of word n-grams: bucket b's bits are bytes at[b] to at[b + 1]. total is the number of words."""
+    """A filter of word n-grams: bucket b's bits are bytes at[b] to at[b + 1]. total is the number of words.
 
-    def __init__(self, bits: np.ndarray, at: np.ndarray, total: int, order: int = WORDS, base: float = BASE):
-        self.bits, self.at, self.total, self.order, self.base = bits, at, total, order, base
+    The bits were broadcast in shares, each a list of (place, bytes); neither the driver nor a worker holds more than one share
+    beside the whole, and the driver never holds the whole.
+    """
+
+    def __init__(self, shares: list, at: np.ndarray, total: int, order: int = WORDS, base: float = BASE):
+        self.shares, self.at, self.total, self.order, self.base = shares, at, total, order, base
+        self._bits: np.ndarray | None = None
+
+    @property
+    def bits(self) -> np.ndarray:
+        if self._bits is None:
+            self._bits = np.zeros(self.at[-1], np.uint8)
+            for share in self.shares:
+                for place, x in share.value:
+                    self._bits[place : place + len(x)] = np.frombuffer(x, np.uint8)
+                share.__dict__.pop("_value", None)
+        return self._bits
+
+    def counts_of(self, key: np.ndarray) -> np.ndarray:
+        """counts() of keys that repeat, each looked up once."""
+        own, inverse = np.unique(key, return_inverse=True)
+        return self.counts(own)[inverse]
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         bucket = (key >> U64(KEY_BITS)).astype(np.int64)
         start, size = self.at[bucket] * 8, ((self.at[bucket + 1] - self.at[bucket]) * 8).astype(U64)
-        out, live = np.zeros(len(key), np.int64), np.flatnonzero(size > 0)
+        bits, out, live = self.bits, np.zeros(len(key), np.int64), np.flatnonzero(size > 0)
         while len(live):
             h, step = _probes(key[live], out[live] + 1)
-            for i in range(HASHES):
+            for i in range(WORD_HASHES):
                 p = start[live] + ((h + U64(i) * step) % size[live]).astype(np.int64)
-                hit = (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
                 live, h, step = live[hit], h[hit], step[hit]
             out[live] += 1
         return size_of(out, self.base)
@@ -172,10 +194,10 @@ def merged(bucket: int, keys: list[bytes], counts: list[bytes]) -> tuple[np.ndar
 
 
 def bucket_bits(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    bits = np.zeros(-(-int(levels.sum()) * BITS // 64) * 64, np.uint8)
+    bits = np.zeros(-(-int(levels.sum()) * WORD_BITS // 64) * 64, np.uint8)
     for j in range(1, int(levels.max(initial=0)) + 1):
         h, step = _probes(key[levels >= j], j)
-        for i in range(HASHES):
+        for i in range(WORD_HASHES):
             bits[((h + U64(i) * step) % U64(len(bits))).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
 
@@ -197,10 +219,19 @@ def fit_words(docs: DataFrame, text_col: str = "text", order: int = WORDS, base:
     at = np.cumsum(at)
     if at[-1] / 1e6 > LIMIT_MB:
         raise ValueError(f"the filter of words would take {at[-1] / 1e6:.0f} MB on every worker; the limit is {LIMIT_MB}")
-    bits = np.zeros(at[-1], np.uint8)
+    sc, held, shares = docs.sparkSession.sparkContext, [], []
+
+    def share() -> None:
+        if held:
+            shares.append(sc.broadcast([(int(at[b]), x) for b, x in held]))
+            held.clear()
+
     for r in built.select("bucket", "bits").toLocalIterator():
-        bits[at[r["bucket"]] : at[r["bucket"] + 1]] = np.frombuffer(r["bits"], np.uint8)
-    return WordFilter(bits, at, sum(r["words"] for r in sizes), order, base)
+        held.append((r["bucket"], bytes(r["bits"])))
+        if sum(len(x) for _, x in held) >= SHARE:
+            share()
+    share()
+    return WordFilter(shares, at, sum(r["words"] for r in sizes), order, base)
 
 
 def word_log_probability(spelled: np.ndarray, keys: np.ndarray, place: np.ndarray, model: WordFilter) -> np.ndarray:
@@ -209,7 +240,7 @@ def word_log_probability(spelled: np.ndarray, keys: np.ndarray, place: np.ndarra
     for n in range(model.order):
         own = np.zeros(len(p))
         real = place >= n
-        own[real] = model.counts(keys[n][real])
+        own[real] = model.counts_of(keys[n][real]) if n < 2 else model.counts(keys[n][real])
         with np.errstate(divide="ignore"):
             p = np.where(real, np.logaddexp(np.log(own), np.log(MASS) + p) - np.log(np.maximum(before, own) + MASS), p)
         before = np.concatenate([[0.0], own[:-1]])
@@ -316,11 +347,11 @@ def score(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
     repeated rows, null ids stay null, no rows give no rows, other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.bits, model.segments, model.base))
-    sparse = words and docs.sparkSession.sparkContext.broadcast((words.bits, words.at, words.total, words.order, words.base))
+    sparse = words and (words.shares, words.at, words.total, words.order, words.base)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, longer = Filter(*held.value), WordFilter(*sparse.value) if sparse else None
+        own, longer = Filter(*held.value), WordFilter(*sparse) if sparse else None
         known, value = np.zeros(0, U64), np.zeros(0)
         for batch in batches:
             data, off = utf8(batch.column(1))
