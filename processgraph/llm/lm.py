@@ -35,6 +35,8 @@ ORDER, BASE, HASHES, BITS, SEGMENT, MASS, LIMIT_MB = 5, 1.5, 6, 14, 1 << 20, 4.0
 WORDS, BUCKET_BITS, KEY_BITS = 3, 12, 40
 #: Of the filter of words: hashes, bits for each stored pair, and bytes that are broadcast at a time.
 WORD_HASHES, WORD_BITS, SHARE = 4, 10, 16 << 20
+#: Bytes of text that a worker scores at a time, and byte n-grams whose probabilities it keeps.
+SCORED, KEPT = 1 << 20, 1_000_000
 
 
 def codes(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -118,6 +120,13 @@ def segment_bits(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _block(key: np.ndarray, lev: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The block of 64 bits, of `size`, that holds a pair (n-gram, level), and its bits there: a probe reads one place of the memory."""
+    h = mix(key + U64(0x632BE59BD9B4E019) * np.asarray(lev).astype(U64))
+    block = ((h >> U64(32)) * np.asarray(size).astype(U64) >> U64(32)).astype(np.int64)
+    return block, [U64(1) << (h >> U64(6 * i) & U64(63)) for i in range(WORD_HASHES)]
+
+
 class WordFilter:
     """A filter of word n-grams: bucket b's bits are bytes at[b] to at[b + 1]. total is the number of words.
 
@@ -146,15 +155,18 @@ class WordFilter:
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         bucket = (key >> U64(KEY_BITS)).astype(np.int64)
-        start, size = self.at[bucket] * 8, ((self.at[bucket + 1] - self.at[bucket]) * 8).astype(U64)
-        bits, out, live = self.bits, np.zeros(len(key), np.int64), np.flatnonzero(size > 0)
+        size = (self.at[bucket + 1] - self.at[bucket]) >> 3
+        blocks, out, live, lev = self.bits.view(U64), np.zeros(len(key), np.int64), np.flatnonzero(size > 0), 0
+        key, start, size = key[live], self.at[bucket[live]] >> 3, size[live]
         while len(live):
-            h, step = _probes(key[live], out[live] + 1)
-            for i in range(WORD_HASHES):
-                p = start[live] + ((h + U64(i) * step) % size[live]).astype(np.int64)
-                hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                live, h, step = live[hit], h[hit], step[hit]
-            out[live] += 1
+            lev += 1
+            block, places = _block(key, lev, size)
+            mask = places[0]
+            for x in places[1:]:
+                mask = mask | x
+            hit = blocks[start + block] & mask == mask
+            live, key, start, size = live[hit], key[hit], start[hit], size[hit]
+            out[live] = lev
         return size_of(out, self.base)
 
 
@@ -187,19 +199,21 @@ def merged(bucket: int, keys: list[bytes], counts: list[bytes]) -> tuple[np.ndar
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, : KEY_BITS // 8] = low
     key, n = wide.view(U64).ravel() | U64(bucket << KEY_BITS), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
-    rank = np.argsort(key, kind="stable")
+    rank = np.argsort(key)
     key, n = key[rank], n[rank]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key[first], np.add.reduceat(n, first)
 
 
 def bucket_bits(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    bits = np.zeros(-(-int(levels.sum()) * WORD_BITS // 64) * 64, np.uint8)
-    for j in range(1, int(levels.max(initial=0)) + 1):
-        h, step = _probes(key[levels >= j], j)
-        for i in range(WORD_HASHES):
-            bits[((h + U64(i) * step) % U64(len(bits))).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little")
+    """The blocks of a bucket as bytes: every pair (n-gram, 1) to (n-gram, level) sets its bits in one of them."""
+    blocks = np.zeros(-(-int(levels.sum()) * WORD_BITS // 64), U64)
+    last = np.cumsum(levels)
+    lev = np.arange(1, int(levels.sum()) + 1) - np.repeat(last - levels, levels)
+    block, places = _block(np.repeat(key, levels), lev, len(blocks))
+    for x in places:
+        np.bitwise_or.at(blocks, block, x)
+    return blocks.view(np.uint8)
 
 
 def fit_words(docs: DataFrame, text_col: str = "text", order: int = WORDS, base: float = BASE) -> WordFilter:
@@ -355,10 +369,10 @@ def score(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
         known, value = np.zeros(0, U64), np.zeros(0)
         for batch in batches:
             data, off = utf8(batch.column(1))
-            for i, j in chunks(off, 1 << 22):
+            for i, j in chunks(off, SCORED):
                 code, inverse = np.unique(codes(data, off[i : j + 1], order), return_inverse=True)
                 new = np.setdiff1d(code, known, assume_unique=True)
-                if len(known) + len(new) > 4_000_000:
+                if len(known) + len(new) > KEPT:
                     known, value, new = np.zeros(0, U64), np.zeros(0), code
                 if len(new):
                     known, value = np.concatenate([known, new]), np.concatenate([value, log_probability(new, own.counts, order)])
