@@ -12,6 +12,9 @@ is broadcast.
 
 Over the bytes stand n-grams of words, up to WORDS, whose number does grow with the corpus; all of them are
 counted and stored. Tasks send hashes of 52 bits in blocks, and each bucket of hashes is one part of a second filter.
+When the corpus itself is scored (`score_corpus`), no worker holds more of that filter than a bucket: the task of a bucket
+builds its part, reads in it the levels of each block that came, and sends them back, a byte for each n-gram, to the texts
+that the block was made of. So the corpus may be of any size. For other texts `fit_words` broadcasts the filter, up to LIMIT_MB.
 
 A byte's probability after its context h is (c(hw) + MASS * P(w | shorter h)) / (c(h) + MASS), from 1/256
 up; a count read as smaller for the context than for what continues it is raised to it. A word's probability starts from that of its bytes
@@ -20,6 +23,7 @@ and goes on in the same way over the words before it; white space has the probab
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from processgraph.lineage import cut
-from processgraph.llm.textnp import U64, chunks, mix, utf8, word_hashes, words
+from processgraph.llm.textnp import U64, chunks, mix, utf8, word_hashes
+from processgraph.llm.textnp import words as find_words
 
 ORDER, BASE, HASHES, BITS, SEGMENT, MASS, LIMIT_MB = 5, 1.5, 6, 14, 1 << 20, 4.0, 1024
 WORDS, BUCKET_BITS, KEY_BITS = 3, 12, 40
@@ -37,6 +42,8 @@ WORDS, BUCKET_BITS, KEY_BITS = 3, 12, 40
 WORD_HASHES, WORD_BITS, SHARE = 4, 10, 16 << 20
 #: Bytes of text that a worker scores at a time, and byte n-grams whose probabilities it keeps.
 SCORED, KEPT = 1 << 20, 1_000_000
+#: Bytes of text whose n-grams of words are asked for at a time.
+ASKED = 6 << 20
 
 
 def codes(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -78,7 +85,7 @@ def tag(code: np.ndarray, n: int) -> np.ndarray:
 
 def word_keys(buf: np.ndarray, off: np.ndarray, order: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and bounds of the words, and (order, words) the keys of the n-grams of words that end at each; 0 where a text has no n words yet."""
-    starts, ends, bounds = words(buf, off)
+    starts, ends, bounds = find_words(buf, off)
     h = word_hashes(buf, starts, ends, fold=False)
     place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     out = np.zeros((order, len(h)), U64)
@@ -156,18 +163,23 @@ class WordFilter:
     def counts(self, key: np.ndarray) -> np.ndarray:
         bucket = (key >> U64(KEY_BITS)).astype(np.int64)
         size = (self.at[bucket + 1] - self.at[bucket]) >> 3
-        blocks, out, live, lev = self.bits.view(U64), np.zeros(len(key), np.int64), np.flatnonzero(size > 0), 0
-        key, start, size = key[live], self.at[bucket[live]] >> 3, size[live]
-        while len(live):
-            lev += 1
-            block, places = _block(key, lev, size)
-            mask = places[0]
-            for x in places[1:]:
-                mask = mask | x
-            hit = blocks[start + block] & mask == mask
-            live, key, start, size = live[hit], key[hit], start[hit], size[hit]
-            out[live] = lev
-        return size_of(out, self.base)
+        return size_of(block_levels(self.bits.view(U64), key, self.at[bucket] >> 3, size), self.base)
+
+
+def block_levels(blocks: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The level of each key, by probes in the `size` blocks from `start` on until one misses."""
+    out, live, lev = np.zeros(len(key), np.int64), np.flatnonzero(size > 0), 0
+    key, start, size = key[live], start[live], size[live]
+    while len(live):
+        lev += 1
+        block, places = _block(key, lev, size)
+        mask = places[0]
+        for x in places[1:]:
+            mask = mask | x
+        hit = blocks[start + block] & mask == mask
+        live, key, start, size = live[hit], key[hit], start[hit], size[hit]
+        out[live] = lev
+    return out
 
 
 def _count_words(order: int):
@@ -248,13 +260,20 @@ def fit_words(docs: DataFrame, text_col: str = "text", order: int = WORDS, base:
     return WordFilter(shares, at, sum(r["words"] for r in sizes), order, base)
 
 
-def word_log_probability(spelled: np.ndarray, keys: np.ndarray, place: np.ndarray, model: WordFilter) -> np.ndarray:
-    """ln P of each word after the words before it, from ln P of its bytes. place is its place in its text."""
-    p, before = spelled, np.full(len(spelled), float(model.total))
+def found(keys: np.ndarray, place: np.ndarray, model: WordFilter) -> np.ndarray:
+    """(order, words) the counts of the n-grams of words that end at each word; 0 where a text has no n words yet."""
+    out = np.zeros(keys.shape)
     for n in range(model.order):
-        own = np.zeros(len(p))
         real = place >= n
-        own[real] = model.counts_of(keys[n][real]) if n < 2 else model.counts(keys[n][real])
+        out[n, real] = model.counts_of(keys[n][real]) if n < 2 else model.counts(keys[n][real])
+    return out
+
+
+def word_log_probability(spelled: np.ndarray, counts: np.ndarray, place: np.ndarray, total: int) -> np.ndarray:
+    """ln P of each word after the words before it, from ln P of its bytes and the counts of its n-grams. place is its place in its text."""
+    p, before = spelled, np.full(len(spelled), float(total))
+    for n, own in enumerate(counts):
+        real = place >= n
         with np.errstate(divide="ignore"):
             p = np.where(real, np.logaddexp(np.log(own), np.log(MASS) + p) - np.log(np.maximum(before, own) + MASS), p)
         before = np.concatenate([[0.0], own[:-1]])
@@ -365,30 +384,173 @@ def score(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, longer = Filter(*held.value), WordFilter(*sparse) if sparse else None
-        known, value = np.zeros(0, U64), np.zeros(0)
+        scorer, longer = Scorer(Filter(*held.value), order), WordFilter(*sparse) if sparse else None
         for batch in batches:
             data, off = utf8(batch.column(1))
             for i, j in chunks(off, SCORED):
-                code, inverse = np.unique(codes(data, off[i : j + 1], order), return_inverse=True)
-                new = np.setdiff1d(code, known, assume_unique=True)
-                if len(known) + len(new) > KEPT:
-                    known, value, new = np.zeros(0, U64), np.zeros(0), code
-                if len(new):
-                    known, value = np.concatenate([known, new]), np.concatenate([value, log_probability(new, own.counts, order)])
-                    rank = np.argsort(known)
-                    known, value = known[rank], value[rank]
-                run_sum = np.concatenate([[0], np.cumsum(value[np.searchsorted(known, code)][inverse])]) if len(code) else np.zeros(1)
-                at = off[i : j + 1] - off[i]
+                counts = None
                 if longer:
-                    starts, ends, bounds, keys = word_keys(data[off[i] : off[j]], at, longer.order)
-                    spelled = run_sum[ends] - run_sum[starts]
-                    place = np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds))
-                    gain = np.zeros(len(run_sum))
-                    gain[ends] = word_log_probability(spelled, keys, place, longer) - spelled
-                    run_sum += np.cumsum(gain)
-                total, n = run_sum[at[1:]] - run_sum[at[:-1]], np.diff(at)
-                perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(total), perplexity], ["doc_id", "n_bytes", "log_prob", "perplexity"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_bytes long, log_prob double, perplexity double")
+                    _, _, bounds, keys = word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i], longer.order)
+                    counts = found(keys, _place(bounds), longer)
+                yield scorer.rows(batch.column(0).slice(i, j - i), data, off[i : j + 1], counts, longer.total if longer else 0)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, _schema(kind))
+
+
+def _schema(kind: str) -> str:
+    return f"doc_id {kind}, n_bytes long, log_prob double, perplexity double"
+
+
+def _place(bounds: np.ndarray) -> np.ndarray:
+    return np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+
+
+class Scorer:
+    """Scores texts by a filter of bytes; the probabilities of up to KEPT n-grams are kept."""
+
+    def __init__(self, own: Filter, order: int):
+        self.own, self.order = own, order
+        self.known, self.value = np.zeros(0, U64), np.zeros(0)
+
+    def rows(self, ids: pa.Array, data: np.ndarray, off: np.ndarray, counts: np.ndarray | None, words: int) -> pa.RecordBatch:
+        """The rows of some texts. counts: of their n-grams of words, as found() has them; words: how many the corpus has."""
+        code, inverse = np.unique(codes(data, off, self.order), return_inverse=True)
+        new = np.setdiff1d(code, self.known, assume_unique=True)
+        if len(self.known) + len(new) > KEPT:
+            self.known, self.value, new = np.zeros(0, U64), np.zeros(0), code
+        if len(new):
+            known, value = np.concatenate([self.known, new]), np.concatenate([self.value, log_probability(new, self.own.counts, self.order)])
+            rank = np.argsort(known)
+            self.known, self.value = known[rank], value[rank]
+        run_sum = np.concatenate([[0], np.cumsum(self.value[np.searchsorted(self.known, code)][inverse])]) if len(code) else np.zeros(1)
+        at = off - off[0]
+        if counts is not None:
+            starts, ends, bounds = find_words(data[off[0] : off[-1]], at)
+            spelled = run_sum[ends] - run_sum[starts]
+            gain = np.zeros(len(run_sum))
+            gain[ends] = word_log_probability(spelled, counts, _place(bounds), words) - spelled
+            run_sum += np.cumsum(gain)
+        total, n = run_sum[at[1:]] - run_sum[at[:-1]], np.diff(at)
+        perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
+        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(total), perplexity], ["doc_id", "n_bytes", "log_prob", "perplexity"])
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about ASKED bytes of text: a hash of the texts, the rows, the bytes and the offsets of their texts."""
+    for batch in batches:
+        data, off = utf8(batch.column(1))
+        for i, j in chunks(off, ASKED):
+            own = off[i : j + 1]
+            name = hashlib.blake2b((own - own[0]).tobytes(), digest_size=8)
+            name.update(data[own[0] : own[-1]])
+            yield int.from_bytes(name.digest(), "big", signed=True), batch.slice(i, j - i), data, own
+
+
+def _part_keys(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """word_keys of texts, and the ranges of the texts of which SCORED bytes at a time are."""
+    ranges = list(chunks(off, SCORED))
+    return np.concatenate([word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i], order)[3] for i, j in ranges], axis=1), ranges
+
+
+_BLOCK = "chunk long, bucket long, words long, low binary, high binary, n binary, more binary"
+
+
+def _ask(order: int):
+    """A block for each bucket that a chunk of texts has n-grams in, and one of bucket 0 that also says how many words there are.
+
+    Of the sorted keys low has 32 bits each, and high how many keys have each value of the 8 bits between these and the bucket. n has the counts
+    as bytes, or 255 where more has them as integers.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, data, off in _parts(batches):
+            keys, _ = _part_keys(data, off, order)
+            total = keys.shape[1]
+            key, n = np.unique(keys[keys > 0], return_counts=True)
+            del keys
+            step = 1 << (KEY_BITS - 32)
+            high = np.bincount((key >> U64(32)).astype(np.int64), minlength=step << BUCKET_BITS)
+            at = np.concatenate([[0], np.cumsum(high.reshape(-1, step).sum(1))])
+            high = high.astype(np.uint8 if high.max() < 256 else np.uint32)
+            low, small, many = key.astype(np.uint32), np.minimum(n, 255).astype(np.uint8), np.flatnonzero(n >= 255)
+            more = np.searchsorted(many, at)
+            sent = np.flatnonzero((np.diff(at) > 0) | (np.arange(len(at) - 1) == 0))
+            for part in np.array_split(sent, 8):
+                cells = [(low[at[b] : at[b + 1]].tobytes(), high[b * step : (b + 1) * step].tobytes(), small[at[b] : at[b + 1]].tobytes(), n[many[more[b] : more[b + 1]]].tobytes()) for b in part]
+                arrays = [pa.array([x[k] for x in cells], pa.binary()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part), pa.array(np.where(part == 0, total, 0)), *arrays], ["chunk", "bucket", "words", "low", "high", "n", "more"])
+
+    return run
+
+
+def _reply(base: float):
+    """The blocks of a bucket become its part of the filter, and what that has for each key of each block is sent back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, step = table.column("bucket")[0].as_py(), 1 << (KEY_BITS - 32)
+        low, small, more = ([x for x in table.column(c).to_pylist()] for c in ("low", "n", "more"))
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in low])])
+        high = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == step else np.uint32).astype(np.int64) for x in table.column("high").to_pylist()])
+        key = np.repeat(np.tile(np.arange(step, dtype=U64), len(low)), high) << U64(32) | np.frombuffer(b"".join(low), np.uint32) | U64(bucket << KEY_BITS)
+        n = np.frombuffer(b"".join(small), np.uint8).astype(np.int64)
+        n[n == 255] = np.frombuffer(b"".join(more), np.int64)
+        own, inverse = np.unique(key, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, inverse, n)
+        blocks = bucket_bits(own, level(total, base)).view(U64)
+        levels = block_levels(blocks, own, np.zeros(len(own), np.int64), np.full(len(own), len(blocks))).astype(np.uint8)[inverse]
+        words = sum(table.column("words").to_pylist())
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "words": pa.array(np.full(len(low), words)), "levels": pa.array([levels[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+
+    return run
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of texts again, with their ids, compressed."""
+    for chunk, rows, _, _ in _parts(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+
+
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, words: int = WORDS, base: float = BASE, stored: bool = False) -> DataFrame:
+    """The rows of score(docs, fit(docs), words=fit_words(docs)), for a corpus of any size.
+
+    docs are read three times; `stored` says that they come in the same order each time, as a table does that is read from files.
+    Otherwise they are stored first. If texts came in other chunks than before, the query raises an error.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs if stored else cut(docs)
+    model = fit(docs, "text", order, base)
+    held = docs.sparkSession.sparkContext.broadcast((model.bits, model.segments, model.base))
+
+    def run(replies: pa.Table, texts: pa.Table) -> pa.Table:
+        if not len(replies) or not len(texts):
+            raise ValueError("the texts came in another order than before")
+        bucket, first = np.unique(replies.column("bucket").to_numpy(), return_index=True)  # chunks of the same texts have the same replies
+        levels, total = replies.column("levels").to_pylist(), replies.column("words").to_numpy()[first[0]]
+        size = size_of(np.arange(256), base)[np.frombuffer(b"".join(levels[k] for k in first), np.uint8)]
+        scorer, out = Scorer(Filter(*held.value), order), []
+        for blob in texts.column("texts"):
+            for rows in pa.ipc.open_stream(blob.as_buffer()):
+                data, off = utf8(rows.column(1))
+                keys, ranges = _part_keys(data, off, words)
+                real = keys > 0
+                own, inverse = np.unique(keys[real], return_inverse=True)
+                if len(own) != len(size):
+                    raise ValueError("the replies are not those to these texts")
+                counts = np.zeros(keys.shape)
+                counts[real] = size[inverse]
+                del keys, own, inverse
+                at = 0
+                for i, j in ranges:
+                    n = len(find_words(data[off[i] : off[j]], off[i : j + 1] - off[i])[0])
+                    out.append(scorer.rows(rows.column(0).slice(i, j - i), data, off[i : j + 1], counts[:, at : at + n], total))
+                    at += n
+        return pa.Table.from_batches(out)
+
+    blocks = docs.mapInArrow(_ask(words), _BLOCK)
+    replies = blocks.groupBy("bucket").applyInArrow(_reply(base), "chunk long, bucket long, words long, levels binary")
+    texts = docs.mapInArrow(_packed, "chunk long, texts binary")
+    return replies.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(run, _schema(docs.schema["doc_id"].dataType.simpleString()))

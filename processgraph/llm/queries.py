@@ -45,8 +45,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return lm.score(docs, lm.fit(docs), words=lm.fit_words(docs))
+    return lm.score_corpus(_read(spark, sf_dir, "documents"), stored=True)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from processgraph.llm import lm as M
+from processgraph.llm import queries
 from processgraph.llm.textnp import U64
 
 
@@ -104,3 +106,23 @@ def test_words_before_a_word_count(spark, table, prose):
     assert M.score(table([(1, None), (2, "")]), model, words=longer).where("log_prob = 0 and perplexity is null").count() == 2
     nothing = M.fit_words(table([]))
     assert nothing.total == 0 and M.score(table([(1, "ab")]), model, words=nothing).count() == 1
+
+
+def test_corpus_is_scored_without_the_whole_filter(spark, table, prose, edges, tmp_path, monkeypatch):
+    """The same rows as with a filter that is broadcast, also of chunks that repeat, and beyond LIMIT_MB."""
+    texts = [prose(k % 30, 150) for k in range(40)] + ["same words again " * 400]
+    frame = table([*enumerate(texts), *edges, (50, None)])
+    want = M.score(frame, M.fit(frame), words=M.fit_words(frame)).collect()
+    row = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_bytes, round(r.log_prob, 5), r.perplexity and round(r.perplexity, 6))
+    assert sorted(map(row, M.score_corpus(frame).collect()), key=str) == sorted(map(row, want), key=str)
+    one = table([(k, texts[0]) for k in range(3)]).coalesce(1)
+    assert [r.n_bytes for r in M.score_corpus(one.union(one)).collect()] == [len(texts[0])] * 6
+    assert M.score_corpus(table([])).count() == 0
+    assert M.score_corpus(table([(1, None), (2, "")])).where("log_prob = 0 and perplexity is null").count() == 2
+    large = table([(k, prose(100 + k, 3000)) for k in range(30)])
+    want = sorted(map(row, M.score(large, M.fit(large), words=M.fit_words(large)).collect()))
+    large.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(M, "LIMIT_MB", 0.14)
+    with pytest.raises(ValueError, match="filter of words"):
+        M.fit_words(large)
+    assert sorted(map(row, queries.op8_language_model(spark, str(tmp_path)).collect())) == want
