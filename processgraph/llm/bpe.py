@@ -169,10 +169,10 @@ def load(path: str = VOCABULARY) -> dict:
 class Coder:
     """A DuckDB connection with the vocabulary, and the words that were encoded."""
 
-    def __init__(self, vocabulary: dict):
+    def __init__(self, vocabulary: dict, memory: str = MEMORY):
         self.v = vocabulary
         spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
         self.db.execute("SET disabled_optimizers = 'join_order,build_side_probe_side'")
         for name, value in (("merges", "merged"), ("lefts", "least"), ("rights", "least")):
             given = pa.table({"pair": vocabulary[name][0], value: vocabulary[name][1]})  # noqa: F841

@@ -1,6 +1,6 @@
 """Packing documents into windows by minimum bin slack.
 
-Documents are encoded by the byte-level BPE of this package. One of n tokens fills n // CAPACITY whole
+Documents are encoded by the byte-level BPE of this package (`tokens`). One of n tokens fills n // CAPACITY whole
 windows by itself; what remains is an item. Within a shard, windows are filled one after the other: dynamic programming over
 the multiset of remaining lengths, with the reachable sums as the bits of one integer, finds the sum
 closest to the capacity, and going back through the stored integers gives how many items of each
@@ -8,20 +8,23 @@ length make it. As long as the items last, the same choice fills further windows
 
 Shards hold about SHARD_DOCS documents each, whatever the size of the table, so the work of a shard
 doesn't grow, and only lengths are shuffled to the shards. The tokens, which are kept in the checkpoint
-folder, then join the pieces that were made of their document.
+folder with as many bytes each as the vocabulary needs, then join the pieces that were made of their document.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from processgraph.lineage import cut
-from processgraph.llm import bpe
+from processgraph.llm import bpe, tokens
+from processgraph.llm.textnp import chunks, utf8
 
 CAPACITY, SHARD_DOCS = 2048, 20_000
 
@@ -102,6 +105,34 @@ def _pack(capacity: int):
     return run
 
 
+def _coded(held, kind: type):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.Encoder(*held.value)
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            for i, j in chunks(off, tokens.CODED):
+                flat, bounds = encoder.encode(data, off[i : j + 1])
+                at = (bounds * np.dtype(kind).itemsize).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(flat.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, pa.array(np.diff(bounds))], ["doc_id", "ids", "n"])
+
+    return run
+
+
+def _listed(kind: type):
+    """The last column, tokens as bytes, becomes lists."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(batch.num_columns - 1)
+            at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+            flat = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind) if len(raw) else np.zeros(0, kind)
+            ids = pa.ListArray.from_arrays(pa.array((at - at[0]) // np.dtype(kind).itemsize, pa.int32()), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], batch.schema.names)
+
+    return run
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """(shard, window, position, doc_id, start, n_tokens, ids): tokens [start, start + n_tokens) of a document, which are ids, at a position of a window.
 
@@ -112,10 +143,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    coded = cut(bpe.encode(rows, vocabulary=vocabulary, check=False).select("doc_id", "ids", F.col("n_tokens").alias("n")))
+    loaded = bpe.load(vocabulary)
+    kind = np.uint16 if max(loaded["tokens"].values()) < 1 << 16 else np.uint32
+    held = docs.sparkSession.sparkContext.broadcast((loaded, tokens.classes()))
+    coded = cut(rows.mapInArrow(_coded(held, kind), "doc_id long, ids binary, n long"))
     coded = coded.withColumn("row", F.monotonically_increasing_id())  # the same each time, since the rows are stored
     shards = max(1, -(-coded.count() // shard_docs))
     sized = coded.select("doc_id", "n", "row").withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
     made = sized.repartition(shards, "shard").groupBy("shard").applyInPandas(_pack(capacity), "shard int, window long, position long, row long, start long, n_tokens long")
     whole = made.join(coded.select("row", "doc_id", "ids"), "row")
-    return whole.select("shard", "window", "position", "doc_id", "start", "n_tokens", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("ids"))
+    wide = np.dtype(kind).itemsize
+    pieces = whole.select("shard", "window", "position", "doc_id", "start", "n_tokens", F.substring("ids", (F.col("start") * wide + 1).cast("int"), (F.col("n_tokens") * wide).cast("int")).alias("ids"))
+    return pieces.mapInArrow(_listed(kind), "shard int, window long, position long, doc_id long, start long, n_tokens long, ids array<int>")

@@ -3,6 +3,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from processgraph.llm import bpe
 from processgraph.llm import packing as K
@@ -77,3 +78,46 @@ def test_edges(spark, table, edges):
     assert K.pack(table([])).count() == 0
     named = spark.createDataFrame([("7", "a b"), ("x", "c")], "doc_id string, text string")
     assert [r.doc_id for r in K.pack(named).collect()] == [7]
+
+
+TEXTS = ["a  b\n\nc \t d", "'s 's it's ''s we're'd x've'll y'm'tz 'Q a'", " leading and trailing  ", "12ab² ½三 1'2'3 'red 'vex", "\u00a0nbsp\u00a0 x\u2003\u2003y \u3000z", "日本語 テスト😀😀 naïve façade", "", "\n", " '", "w" * 300 + " " + "ab" * 500, "é" * 40 + "x" * 129 + "y" * 128, "\x1c\x1d \x85x \x00"]
+
+
+def test_tokens_of_whole_batches_against_a_coder(monkeypatch):
+    """The same as bpe has, whatever the words, and also where hashes collide and where words are forgotten."""
+    from processgraph.llm import tokens as T
+
+    r = random.Random(3)
+    signs = "abstrevmld'' \n\t 019.,!-éßЖ語½\u00a0\u2009😀"
+    texts = TEXTS + ["".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(1500)] + ["".join(r.choice("aeinrstlo") for _ in range(r.randrange(1, 150))) for _ in range(150)]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"skipped" + b"".join(raw), np.uint8), 7 + np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    words = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in bpe.cut_words(t)))}
+    ids, sizes = bpe.Coder(bpe.load()).contract([w.encode() for w in words])
+    of = np.split(ids, np.cumsum(sizes)[:-1])
+    per = [np.concatenate([of[words[w]] for w in bpe.cut_words(t)] or [ids[:0]]) for t in texts]
+    flat, bounds = np.concatenate(per), np.concatenate([[0], np.cumsum([len(x) for x in per])])
+    encoder = T.Encoder(bpe.load(), T.classes())
+    for k in range(4):
+        if k == 1:
+            monkeypatch.setattr(T, "CACHE", 100)
+        if k == 2:
+            monkeypatch.setattr(T, "HASHED", 50)
+        if k == 3:
+            monkeypatch.setattr(T, "word_hashes", lambda buf, starts, ends, fold: np.asarray(ends - starts, np.uint64) % np.uint64(5))
+        got, to = encoder.encode(buf, off)
+        assert (to == bounds).all() and (got == flat).all()
+
+
+def test_tokens_are_kept_as_small_as_the_vocabulary_allows(spark, table, prose, monkeypatch):
+    """Two bytes a token in the checkpoint folder and in the shuffle; four for a vocabulary of more tokens gives the same rows."""
+    kept = []
+    cut = K.cut
+    monkeypatch.setattr(K, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    frame = table([(k, prose(k, 300)) for k in range(20)])
+    want = sorted(map(tuple, K.pack(frame).collect()))
+    assert kept[0].where("octet_length(ids) = 2 * n").count() == 20
+    load = bpe.load
+    monkeypatch.setattr(bpe, "load", lambda path: load(path) | {"tokens": load(path)["tokens"] | {b"\xff" * 99: 70_000}})
+    assert sorted(map(tuple, K.pack(frame).collect())) == want
+    assert kept[1].where("octet_length(ids) = 4 * n").count() == 20
