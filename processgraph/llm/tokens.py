@@ -18,7 +18,7 @@ from processgraph.llm import bpe
 from processgraph.llm.textnp import U64, chunks, word_hashes
 
 #: Bytes of text that are hashed and encoded at a time, of words that are kept, and of a word that is a row of a matrix; widths of the matrices.
-HASHED, CODED, CACHE, LONG, WIDTHS = 1 << 20, 4 << 20, 8 << 20, 128, (4, 8, 12, 16, 24, 32, 64, 128)
+HASHED, CODED, CACHE, LONG, WIDTHS = 1 << 20, 1 << 20, 8 << 20, 128, (4, 8, 12, 16, 24, 32, 64, 128)
 MEMORY = "300MB"
 OTHER, LETTER, NUMBER, BLANK = range(4)
 _NONE = np.int32(2**31 - 1)
