@@ -158,9 +158,16 @@ def structure(text: str) -> list[list[list[str]]]:
     return out
 
 
+_DASHES, _MARKS = re.compile(r"---.*"), re.compile(r'["—“”!?`,.:;()_]+')
+
+
+def pure(s: str) -> str:
+    """Without marks and what follows dashes, in lower case."""
+    return _MARKS.sub("", _DASHES.sub("", s)).lower()
+
+
 def clean_ngram(s: str) -> str:
-    s = re.sub(r"---.*", "", s)
-    return re.sub(r'["—“”!?`,.:;()_]+', "", s).replace("  ", " ").strip("-").strip("'").lower()
+    return pure(s).replace("  ", " ").strip("-").strip("'")
 
 
 def excluded(first: str, last: str) -> bool:
