@@ -618,9 +618,7 @@ UNION ALL SELECT * FROM (SELECT d, 0, n, kind, g, round(score, 4), row_number()
 )
 def intentional_tokens(spark, sf):
     """The fragments of the first sentence are the selected ones."""
-    docs = read(spark, sf, "documents")
-    first = text.fragment_rows(docs).where("sentence = 1").select("doc_id", "fragment")
-    return text.intentional_tokens(text.ngrams(docs), first).withColumn("score", F.round("score", 4))
+    return spans.intentional_tokens(read(spark, sf, "documents")).withColumn("score", F.round("score", 4))
 
 
 @query(

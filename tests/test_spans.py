@@ -38,6 +38,7 @@ def rows(df, columns):
 
 FORMS = {
     "fast_slow": lambda docs, grams: text.fast_slow(grams),
+    "intentional_tokens": lambda docs, grams: text.intentional_tokens(grams, text.fragment_rows(docs).where("sentence = 1").select("doc_id", "fragment")),
 }
 
 
@@ -48,7 +49,7 @@ def test_documents_give_what_rows_give(docs, grams, name):
     assert rows(got, got.columns) == rows(want, got.columns) and got.count() > 100
 
 
-SHUFFLED = "fast_slow".split()
+SHUFFLED = "fast_slow intentional_tokens".split()
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
