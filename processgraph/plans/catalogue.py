@@ -573,8 +573,7 @@ def ngram_frequencies(spark, sf):
 
 @query(_GRAM + _GAP + " SELECT d AS doc_id, n, g AS ngram, occurrences, min_gap::INT AS min_gap, max_gap::INT AS max_gap, l::INT AS l, l < 45 OR occurrences < 2 OR max_gap > min_gap + 45 AS intentional FROM gap")
 def ngram_gaps(spark, sf):
-    g = text.ngrams(read(spark, sf, "documents"))
-    return text.intentional(text.gaps(g), text.lengths(g))
+    return spans.gaps(read(spark, sf, "documents"))
 
 
 @query(

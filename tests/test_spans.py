@@ -39,6 +39,7 @@ def rows(df, columns):
 FORMS = {
     "fast_slow": lambda docs, grams: text.fast_slow(grams),
     "intentional_tokens": lambda docs, grams: text.intentional_tokens(grams, text.fragment_rows(docs).where("sentence = 1").select("doc_id", "fragment")),
+    "gaps": lambda docs, grams: text.intentional(text.gaps(grams), text.lengths(grams)),
 }
 
 
@@ -49,7 +50,7 @@ def test_documents_give_what_rows_give(docs, grams, name):
     assert rows(got, got.columns) == rows(want, got.columns) and got.count() > 100
 
 
-SHUFFLED = "fast_slow intentional_tokens".split()
+SHUFFLED = "fast_slow intentional_tokens ngram_gaps".split()
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
