@@ -587,7 +587,7 @@ r AS (SELECT d, n, CASE WHEN l < 45 OR occurrences < 2 OR max_gap > min_gap + 45
 SELECT d AS doc_id, n, kind, g AS ngram, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY d, n, kind ORDER BY round(score, 6) DESC, g)::INT AS rank FROM r) WHERE rank <= CASE n WHEN 2 THEN 0 WHEN 5 THEN 45 ELSE 150 END"""
 )
 def ngram_anomalies(spark, sf):
-    return text.anomalies(text.ngrams(read(spark, sf, "documents"))).withColumn("score", F.round("score", 4))
+    return spans.anomalies(read(spark, sf, "documents")).withColumn("score", F.round("score", 4))
 
 
 @query(_GRAM + _FAST + " SELECT d AS doc_id, n, p, g AS ngram, slow FROM fs")

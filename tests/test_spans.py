@@ -40,6 +40,7 @@ FORMS = {
     "fast_slow": lambda docs, grams: text.fast_slow(grams),
     "intentional_tokens": lambda docs, grams: text.intentional_tokens(grams, text.fragment_rows(docs).where("sentence = 1").select("doc_id", "fragment")),
     "gaps": lambda docs, grams: text.intentional(text.gaps(grams), text.lengths(grams)),
+    "anomalies": lambda docs, grams: text.anomalies(grams),
 }
 
 
@@ -50,7 +51,14 @@ def test_documents_give_what_rows_give(docs, grams, name):
     assert rows(got, got.columns) == rows(want, got.columns) and got.count() > 100
 
 
-SHUFFLED = "fast_slow intentional_tokens ngram_gaps".split()
+def test_small_chunks_and_vocabularies(docs, grams, monkeypatch):
+    monkeypatch.setattr(spans, "CHUNK", 100)
+    monkeypatch.setattr(spans, "MOST_WORDS", 10)
+    got = spans.anomalies(docs)
+    assert rows(got, got.columns) == rows(text.anomalies(grams), got.columns)
+
+
+SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies".split()
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
