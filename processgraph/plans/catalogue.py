@@ -603,7 +603,7 @@ SELECT d AS doc_id, n, g AS ngram, 1::BIGINT AS overlap, 0::BIGINT AS condensate
 UNION ALL SELECT d, n, g, shared::BIGINT, CASE WHEN shared > 0 THEN 0 ELSE n_pairs END FROM pair"""
 )
 def coactivation(spark, sf):
-    return text.coactivation(text.ngrams(read(spark, sf, "documents")))
+    return spans.coactivation(read(spark, sf, "documents"))
 
 
 @query(

@@ -41,6 +41,7 @@ FORMS = {
     "intentional_tokens": lambda docs, grams: text.intentional_tokens(grams, text.fragment_rows(docs).where("sentence = 1").select("doc_id", "fragment")),
     "gaps": lambda docs, grams: text.intentional(text.gaps(grams), text.lengths(grams)),
     "anomalies": lambda docs, grams: text.anomalies(grams),
+    "coactivation": lambda docs, grams: text.coactivation(grams),
 }
 
 
@@ -58,7 +59,7 @@ def test_small_chunks_and_vocabularies(docs, grams, monkeypatch):
     assert rows(got, got.columns) == rows(text.anomalies(grams), got.columns)
 
 
-SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies".split()
+SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies coactivation".split()
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
