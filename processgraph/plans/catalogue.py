@@ -568,7 +568,7 @@ _FAST = _STRETCH + """, fs AS (SELECT s.d, s.m, s.n, s.p, s.g, EXISTS (SELECT 1
 
 @query(_GRAM + " SELECT d AS doc_id, n, g AS ngram, count(*)::DOUBLE AS freq, string_agg(sentence, ',' ORDER BY sentence) AS locations FROM gram GROUP BY ALL")
 def ngram_frequencies(spark, sf):
-    return text.ngram_table(text.ngrams(read(spark, sf, "documents"))).withColumn("locations", F.array_join("locations", ","))
+    return spans.ngram_table(read(spark, sf, "documents")).withColumn("locations", F.array_join("locations", ","))
 
 
 @query(_GRAM + _GAP + " SELECT d AS doc_id, n, g AS ngram, occurrences, min_gap::INT AS min_gap, max_gap::INT AS max_gap, l::INT AS l, l < 45 OR occurrences < 2 OR max_gap > min_gap + 45 AS intentional FROM gap")

@@ -42,6 +42,7 @@ FORMS = {
     "gaps": lambda docs, grams: text.intentional(text.gaps(grams), text.lengths(grams)),
     "anomalies": lambda docs, grams: text.anomalies(grams),
     "coactivation": lambda docs, grams: text.coactivation(grams),
+    "ngram_table": lambda docs, grams: text.ngram_table(grams),
 }
 
 
@@ -59,7 +60,7 @@ def test_small_chunks_and_vocabularies(docs, grams, monkeypatch):
     assert rows(got, got.columns) == rows(text.anomalies(grams), got.columns)
 
 
-SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies coactivation".split()
+SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies coactivation ngram_frequencies".split()
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
