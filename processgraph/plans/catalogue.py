@@ -629,7 +629,7 @@ sc AS (SELECT d, ord, sum(CASE WHEN last IS NULL THEN length(g) ELSE length(g) *
 SELECT d AS doc_id, ord::INT AS ord, round(coalesce(score, 0), 4) AS score FROM t LEFT JOIN sc USING (d, ord)"""
 )
 def running_ngrams(spark, sf):
-    return text.running_ngram_scores(read(spark, sf, "documents")).withColumn("score", F.round("score", 4))
+    return spans.running_scores(read(spark, sf, "documents")).withColumn("score", F.round("score", 4))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ':' || chr(10), 'g'), '[\[\]]', '', 'g') AS text FROM pages")

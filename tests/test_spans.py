@@ -43,6 +43,7 @@ FORMS = {
     "anomalies": lambda docs, grams: text.anomalies(grams),
     "coactivation": lambda docs, grams: text.coactivation(grams),
     "ngram_table": lambda docs, grams: text.ngram_table(grams),
+    "running_scores": lambda docs, grams: text.running_ngram_scores(docs),
 }
 
 
@@ -60,7 +61,7 @@ def test_small_chunks_and_vocabularies(docs, grams, monkeypatch):
     assert rows(got, got.columns) == rows(text.anomalies(grams), got.columns)
 
 
-SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies coactivation ngram_frequencies".split()
+SHUFFLED = "fast_slow intentional_tokens ngram_gaps ngram_anomalies coactivation ngram_frequencies running_ngrams".split()
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
