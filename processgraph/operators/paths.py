@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,16 +206,81 @@ def axial_path(links: DataFrame, start, arrow: int, limit: int = 100) -> DataFra
     return links.sparkSession.createDataFrame(out, f"step int, node {links.schema['dst'].dataType.simpleString()}")
 
 
+STRAND = 256
+
+
+def _strands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst) of a batch as lists of nodes that follow each other, each link in one list, of up to STRAND nodes."""
+    for batch in batches:
+        nxt, entered, out = {}, set(), []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if a in nxt or b in entered:
+                out.append([a, b])
+            else:
+                nxt[a] = b
+                entered.add(b)
+        for a in [*(a for a in nxt if a not in entered), *nxt]:  # what the first ones leave are rings
+            while a in nxt:
+                own = [a]
+                while a in nxt and len(own) < STRAND:
+                    a = nxt.pop(a)
+                    own.append(a)
+                out.append(own)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(batch.column(0).type))], ["nodes"])
+
+
+def _follow(strands: DataFrame, limit: int) -> DataFrame:
+    """Adds to strands(nodes, head, tail) what comes after the tail, up to `limit` nodes, as `more`: each round doubles how far a strand knows its way."""
+    if strands.select("tail").join(strands.select(F.col("head").alias("tail")), "tail", "left_semi").isEmpty():
+        return strands.withColumn("more", F.slice("nodes", 1, 0))
+    known = cut(strands.select("head", F.slice("nodes", 2, limit).alias("way"), F.col("tail").alias("end")))
+    while True:
+        nxt = known.select(F.col("head").alias("end"), F.col("way").alias("on"), F.col("end").alias("last"))
+        goes = F.col("on").isNotNull() & (F.size("way") < limit)
+        far = F.when(goes, F.slice(F.concat("way", "on"), 1, limit)).otherwise(F.col("way"))
+        known = cut(known.join(nxt, "end", "left").select("head", far.alias("way"), F.when(goes, F.col("last")).otherwise(F.col("end")).alias("end"), goes.alias("went")))
+        if known.where("went").isEmpty():
+            break
+        known = known.drop("went")
+    return strands.join(known.select(F.col("head").alias("tail"), F.col("way").alias("more")), "tail", "left").withColumn("more", F.coalesce("more", F.slice("nodes", 1, 0)))
+
+
 def axial_paths(links: DataFrame, arrow: int, limit: int = 100) -> DataFrame:
-    """(root, step, node) from every node that has a link of the arrow: all walks move together, one join a step."""
+    """(root, step, node) from every node that has a link of the arrow.
+
+    Where no node has two links of the arrow, out or in, what a walk meets again can only be its root. Then links
+    that lie together are strung together where they lie, strands are put end to end, and every walk is a slice.
+    """
+    kind = links.schema["src"].dataType.simpleString()
+    one = links.where(F.col("arr") == arrow)
+    strands = one.where("src <> dst").select("src", "dst").mapInArrow(_strands, f"nodes array<{kind}>")
+    strands = cut(strands.select("nodes", F.element_at("nodes", 1).alias("head"), F.element_at("nodes", -1).alias("tail")))
+    side = lambda first, n: F.transform(F.slice("nodes", first, F.size("nodes") - 1), lambda x: F.xxhash64(F.lit(n), x))
+    ends = strands.select(F.explode(F.concat(side(1, 0), side(2, 1))).alias("h"))  # equal hashes of unequal nodes only cost time
+    if not ends.groupBy("h").count().where("count > 1").isEmpty():
+        return _axial_steps(one, limit)
+    after = F.concat("nodes", "more")
+    walks = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(F.get("nodes", i - 1).alias("root"), F.slice(after, i + 1, limit).alias("path")))
+    out = _follow(strands, limit).select(F.inline(walks))
+    back = F.array_position("path", F.col("root")).cast("int")
+    out = out.select("root", F.when(back > 0, F.slice("path", 1, F.greatest(back - 1, F.lit(0)))).otherwise(F.col("path")).alias("path"))
+    return out.select("root", F.posexplode("path").alias("i", "node")).select("root", (F.col("i") + 1).alias("step"), "node")
+
+
+def _axial_steps(links: DataFrame, limit: int) -> DataFrame:
+    """The walks of axial_paths() where nodes have several links: all move together, one join a step; one that stops is put aside."""
     nth = F.row_number().over(Window.partitionBy("root").orderBy("key"))
-    own = links.where(F.col("arr") == arrow).select(F.col("src").alias("tip"), F.struct("stindex", "ord").alias("key"), "dst")
+    own = cut(links.select(F.col("src").alias("tip"), F.struct("stindex", "ord").alias("key"), "dst"))
     front = own.select(F.col("tip").alias("root")).distinct().select("root", F.col("root").alias("tip"), F.array("root").alias("path"))
+    stopped = []
     for _ in range(limit):
         nxt = front.join(own, "tip").where(~F.array_contains("path", F.col("dst"))).withColumn("nth", nth).where("nth = 1")
         nxt = cut(nxt.select("root", F.col("dst").alias("tip"), F.concat("path", F.array("dst")).alias("path")))
+        stopped.append(cut(front.join(nxt.select("root"), "root", "left_anti").select("root", "path")))
+        front = nxt
         if nxt.isEmpty():
             break
-        stopped = front.join(nxt.select("root"), "root", "left_anti")
-        front = cut(nxt.unionByName(stopped))
-    return front.select("root", F.posexplode(F.slice("path", 2, 1 << 20)).alias("i", "node")).select("root", (F.col("i") + 1).alias("step"), "node")
+    out = front.select("root", "path")
+    for x in stopped:
+        out = out.unionByName(x)
+    return out.select("root", F.posexplode(F.slice("path", 2, 1 << 20)).alias("i", "node")).select("root", (F.col("i") + 1).alias("step"), "node")

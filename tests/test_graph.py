@@ -248,3 +248,40 @@ def test_remove_chapter(spark):
     assert [r.text for r in g.nodes.collect()] == ["b"] and g.links.count() == 1
     with pytest.raises(ValueError):
         g.remove_chapter("")
+
+
+def _axial(links: list[tuple], limit: int) -> set[tuple]:
+    """Walks one after the other: always the first link whose end wasn't visited."""
+    out = set()
+    for root in {a for a, _, _ in links}:
+        at, seen = root, [root]
+        for step in range(1, limit + 1):
+            options = sorted((o, b) for a, o, b in links if a == at and b not in seen)
+            if not options:
+                break
+            at = options[0][1]
+            seen.append(at)
+            out.add((root, step, at))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["chains", "rings", "tree", "choices", "mixed up"])
+def test_axial_walks_one_by_one(spark, monkeypatch, shape):
+    rng = random.Random(shape)
+    names_ = [f"v{k}" for k in range(600 if shape == "chains" else 120)]
+    rng.shuffle(names_)
+    pairs = [(a, b) for a, b in zip(names_, names_[1:]) if rng.random() < 0.97] + [("self", "self")]
+    if shape == "rings":
+        pairs = list(zip(names_[:50], names_[1:50] + names_[:1])) + list(zip(names_[50:], names_[51:] + names_[50:51]))
+    elif shape == "tree":
+        pairs = [(names_[k], names_[rng.randrange(k)]) for k in range(1, 60)]
+    elif shape == "choices":
+        pairs = list({(rng.choice(names_[:30]), rng.choice(names_[:30])) for _ in range(70)})
+    if shape != "chains":
+        rng.shuffle(pairs)
+    links = [(a, k, b) for k, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame([(a, 5, o, 3, 1.0, 0, b) for a, o, b in links], "src string, stindex tinyint, ord long, arr int, wgt float, ctx int, dst string").repartition(1 if shape == "chains" else 5)
+    if shape in ("chains", "rings", "mixed up"):  # no step by step
+        monkeypatch.setattr(P, "_axial_steps", None)
+    for limit in (100, 9) if shape in ("chains", "rings") else (9,):
+        assert {tuple(r) for r in P.axial_paths(df, 3, limit).collect()} == _axial(links, limit)
