@@ -81,44 +81,87 @@ def summary(adj: DataFrame, top: int = 5) -> dict:
 def betweenness(adj: DataFrame, limit: int = SMALL) -> DataFrame:
     """(node, betweenness) of shortest paths without weights, directed, not normalised.
 
-    Sources are divided among tasks, each of which holds the pairs; so their number is checked.
+    A node that one link leads to and none leaves is nobody's way on, so it is only counted where it hangs. Of what is
+    left, up to `limit` pairs are held by every task, which divide the sources; more are walked by joins, a level at
+    a time for all sources, and what that keeps on disk are the pairs of nodes that reach each other.
     """
-    pairs = adj.select("src", "dst").limit(limit + 1).collect()
-    if len(pairs) > limit:
-        raise ValueError(f"more than {limit} pairs; betweenness needs them in every worker")
+    adj = cut(adj.select("src", "dst"))
+    pairs = adj.where("src <> dst")
+    sides = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(None).cast(adj.schema["src"].dataType).alias("by")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.col("src").alias("by"))))
+    leaf = pairs.select(sides.alias("x")).select("x.*").groupBy("node").agg(F.max("out").alias("out"), F.count("by").alias("n"), F.min("by").alias("by")).where("out = 0 and n = 1")
+    leaf = cut(leaf.select("node", "by"))
+    core = cut(pairs.join(leaf.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    hung = leaf.groupBy(F.col("by").alias("node")).agg(F.count("*").cast("double").alias("hung")).join(members(core), "node", "left_semi")
+    held = core.limit(limit + 1).collect()
+    found = _through_held(core, held, hung) if len(held) <= limit else _through_levels(core, cut(hung))
+    return members(adj).join(found, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _through_held(core: DataFrame, pairs: list, hung: DataFrame) -> DataFrame:
     names = sorted({x for p in pairs for x in p})
     index = {x: k for k, x in enumerate(names)}
     out: list[list[int]] = [[] for _ in names]
     for s, d in sorted(pairs):
         out[index[s]].append(index[d])
-    held = adj.sparkSession.sparkContext.broadcast(out)
+    more = [0.0] * len(names)
+    for r in hung.collect():
+        more[index[r["node"]]] = r["hung"]
+    held = core.sparkSession.sparkContext.broadcast((out, more))
 
     def brandes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = np.zeros(len(held.value))
+        links, hang = held.value
+        n = len(links)
+        score = np.zeros(n)
         for frame in frames:
             for s in frame["id"]:
-                n = len(held.value)
                 dist, sigma, before, order = [-1] * n, [0.0] * n, [[] for _ in range(n)], [s]
                 dist[s], sigma[s] = 0, 1.0
                 for v in order:
-                    for w in held.value[v]:
+                    for w in links[v]:
                         if dist[w] < 0:
                             dist[w] = dist[v] + 1
                             order.append(w)
                         if dist[w] == dist[v] + 1:
                             sigma[w] += sigma[v]
                             before[w].append(v)
-                delta = [0.0] * n
+                delta = hang[:]
                 for w in reversed(order):
                     for v in before[w]:
                         delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
                     if w != s:
                         score[w] += delta[w]
-        yield pd.DataFrame({"k": np.arange(len(score)), "b": score})
+        yield pd.DataFrame({"k": np.arange(n), "b": score})
 
-    parts = adj.sparkSession.range(len(names)).mapInPandas(brandes, "k bigint, b double").groupBy("k").agg(F.sum("b").alias("betweenness"))
-    labels = adj.sparkSession.createDataFrame([(k, x) for k, x in enumerate(names)], f"k bigint, node {adj.schema['src'].dataType.simpleString()}")
-    return labels.join(parts, "k", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    parts = core.sparkSession.range(len(names)).mapInPandas(brandes, "k bigint, b double").groupBy("k").agg(F.sum("b").alias("betweenness"))
+    labels = core.sparkSession.createDataFrame([(k, x) for k, x in enumerate(names)], f"k bigint, node {core.schema['src'].dataType.simpleString()}")
+    return labels.join(parts, "k").select("node", "betweenness")
+
+
+def _through_levels(core: DataFrame, hung: DataFrame) -> DataFrame:
+    link = core.select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    levels = [cut(core.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
+    seen = levels[0].select("s", "v")
+    while True:
+        step = levels[-1].join(link, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        nxt = cut(step.join(seen, ["s", "v"], "left_anti"))
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        seen = seen.unionByName(nxt.select("s", "v"))
+    own = lambda level: level.join(hung.withColumnRenamed("node", "v"), "v", "left").withColumn("delta", F.coalesce("hung", F.lit(0.0))).drop("hung")
+    found, later = None, None
+    for level in reversed(levels[1:]):
+        now = own(level)
+        if later is not None:
+            to = later.select("s", F.col("v").alias("w"), F.col("sigma").alias("ways"), F.col("delta").alias("far"))
+            add = level.join(link, "v").join(to, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("ways") * (1 + F.col("far"))).alias("add"))
+            now = now.join(add, ["s", "v"], "left").withColumn("delta", F.col("delta") + F.coalesce("add", F.lit(0.0))).drop("add")
+        later = cut(now)
+        part = later.groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("betweenness"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return core.select(F.col("src").alias("node"), F.lit(0.0).alias("betweenness")).limit(0)
+    return found.groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
 
 
 def tally(paths: DataFrame) -> DataFrame:

@@ -285,3 +285,37 @@ def test_axial_walks_one_by_one(spark, monkeypatch, shape):
         monkeypatch.setattr(P, "_axial_steps", None)
     for limit in (100, 9) if shape in ("chains", "rings") else (9,):
         assert {tuple(r) for r in P.axial_paths(df, 3, limit).collect()} == _axial(links, limit)
+
+
+def _betweenness(pairs: set[tuple]) -> dict:
+    """By its definition, of numbers and lengths of shortest paths between all nodes."""
+    nodes, dist, ways = {x for p in pairs for x in p}, {}, {}
+    for s in nodes:
+        dist[s, s], ways[s, s], front = 0, 1, [s]
+        while front:
+            nxt = []
+            for a, b in ((a, b) for a in front for x, b in pairs if x == a and a != b):
+                if (s, b) not in dist:
+                    dist[s, b], ways[s, b] = dist[s, a] + 1, 0
+                    nxt.append(b)
+                if dist[s, b] == dist[s, a] + 1:
+                    ways[s, b] += ways[s, a]
+            front = nxt
+    on = lambda s, v, t: (s, v) in dist and (v, t) in dist and dist[s, v] + dist[v, t] == dist[s, t]
+    return {v: round(sum(ways[s, v] * ways[v, t] / ways[s, t] for s, t in dist if v not in (s, t) and s != t and on(s, v, t)), 6) for v in nodes}
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_betweenness_by_its_definition(spark, limit):
+    rng = random.Random(4)
+    pairs = {(f"a{rng.randrange(12)}", f"a{rng.randrange(12)}") for _ in range(26)} | {(f"a{rng.randrange(12)}", f"leaf{k}") for k in range(20)} | {("hub", f"own{k}") for k in range(3)} | {("lone", "lone")}
+    adj = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    assert {r.node: round(r.betweenness, 6) for r in A.betweenness(adj, limit).collect()} == _betweenness(pairs)
+
+
+def test_betweenness_of_more_pairs_than_a_task_may_hold(spark):
+    n = F.col("id")
+    pairs = spark.range(200_100).select((n % 50 + 10**6).alias("src"), n.alias("dst"), F.lit(1.0).alias("weight"))
+    pairs = pairs.unionByName(spark.createDataFrame([(-1, 10**6 + k, 1.0) for k in range(50)], "src long, dst long, weight double"))
+    got = A.betweenness(pairs)
+    assert got.count() == 200_151 and {r.betweenness for r in got.where("betweenness > 0").collect()} == {4002.0}
