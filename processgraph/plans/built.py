@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from processgraph.graph import Graph
-from processgraph.operators import text
+from processgraph.operators import scores, text
 from processgraph.plans.catalogue import _WORD, CHANNEL, query
 from processgraph.plans.views import read
 from processgraph.registry import Registry
@@ -181,4 +181,4 @@ def significant_sentences(spark, sf):
 SELECT doc_id, '- documents' || chr(10) || string_agg(CASE WHEN i % 45 = 0 THEN chr(10) || ' :: part ' || (i // 45 + 1) || ' ::' || chr(10) ELSE '' END || '@sen' || ord || '   ' || s, chr(10) ORDER BY ord) || chr(10) || '# sentences: ' || count(*) || chr(10) AS notes FROM line GROUP BY doc_id"""
 )
 def text_to_notes(spark, sf):
-    return text.to_notes(read(spark, sf, "documents"), "documents")
+    return scores.to_notes(read(spark, sf, "documents"), "documents")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from processgraph.functions import scalars as S
 from processgraph.operators import analytics as A
 from processgraph.operators import context as C
-from processgraph.operators import layout, matrix, paths, search, spans, text
+from processgraph.operators import layout, matrix, paths, scores, search, spans, text
 from processgraph.operators.frontier import BACKWARD, FORWARD, Limits, walk
 from processgraph.plans import views as V
 from processgraph.sources.rdf import LABEL as RDF_LABEL
