@@ -173,7 +173,7 @@ best AS (SELECT s.doc_id, s.ord, s.sentence FROM sent s JOIN r ON r.doc_id = s.d
 
 @query(f"WITH {_BEST} SELECT doc_id, ord::BIGINT AS ord, sentence FROM best")
 def significant_sentences(spark, sf):
-    return text.significant(read(spark, sf, "documents")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "sentence")
+    return scores.significant(read(spark, sf, "documents")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "sentence")
 
 
 @query(
