@@ -26,6 +26,7 @@ def rows(df, columns):
 FORMS = {
     "text_to_notes": (lambda d: scores.to_notes(d, "c"), lambda d: text.to_notes(d, "c")),
     "significant_sentences": (scores.significant, text.significant),
+    "running_score": (scores.running_ranks, lambda d: text.running_ranks(text.sentences(d))),
 }
 
 
