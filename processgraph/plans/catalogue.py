@@ -521,8 +521,7 @@ def running_score(spark, sf):
 @query(f"""WITH {_WORD}, f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, word)::DOUBLE AS n FROM word), st AS (SELECT doc_id, ord, round(sum(CASE WHEN n < 2 THEN 0 ELSE n * length(word) / (1 + exp(n / 45 - 1.0::DOUBLE / 30)) END), 6) AS score FROM f GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS nth, greatest(1, round_even(count(*) OVER (PARTITION BY doc_id) * 0.25, 0)) AS most FROM st) SELECT doc_id, ord::BIGINT AS ord FROM r WHERE nth <= most""")
 def significant_static(spark, sf):
-    ranks = text.static_ranks(text.sentences(read(spark, sf, "documents"))).withColumn("score", F.round("score", 6))
-    return text.select_top(ranks, 25.0).select("doc_id", F.col("ord").cast("bigint").alias("ord"))
+    return scores.top_static(read(spark, sf, "documents"), 25.0).select("doc_id", F.col("ord").cast("bigint").alias("ord"))
 
 
 def _ngram_sql(source: str) -> str:
