@@ -510,7 +510,7 @@ def vocabulary(spark, sf):
 
 @query(f"WITH {_WORD}, f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, word)::DOUBLE AS n FROM word) SELECT doc_id, ord::BIGINT AS ord, round(sum(CASE WHEN n < 2 THEN 0 ELSE n * length(word) / (1 + exp(n / 45 - 1.0::DOUBLE / 30)) END), 4) AS score FROM f GROUP BY ALL")
 def static_score(spark, sf):
-    return text.static_ranks(text.sentences(read(spark, sf, "documents"))).select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.round("score", 4).alias("score"))
+    return scores.static_ranks(read(spark, sf, "documents")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {_WORD}, f AS (SELECT *, lag(ord) OVER (PARTITION BY doc_id, word ORDER BY ord, pos) AS last FROM word) SELECT doc_id, ord::BIGINT AS ord, round(sum(CASE WHEN last IS NULL THEN length(word) ELSE length(word) * (1 - exp(-(ord - last) / 45.0::DOUBLE)) END), 4) AS score FROM f GROUP BY ALL")

@@ -28,6 +28,7 @@ FORMS = {
     "significant_sentences": (scores.significant, text.significant),
     "running_score": (scores.running_ranks, lambda d: text.running_ranks(text.sentences(d))),
     "significant_static": (lambda d: scores.top_static(d, 25.0), lambda d: text.select_top(text.static_ranks(text.sentences(d)), 25.0).drop("score")),
+    "static_score": (scores.static_ranks, lambda d: text.static_ranks(text.sentences(d))),
 }
 
 
