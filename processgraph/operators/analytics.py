@@ -260,12 +260,23 @@ def closures(links: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.select(F.col("a").alias("src"), "stindex", "ord", F.col("result").alias("arr"), (F.col("w1") * F.col("w2")).cast("float").alias("wgt"), "ctx", F.col("c").alias("dst")).groupBy("src", "stindex", "arr", "wgt", "ctx", "dst").agg(F.min("ord").alias("ord"))
 
 
-def closeness(links: DataFrame) -> DataFrame:
-    """Neighbours by one similarity arrow of one node are near each other: weight 1, no context."""
-    near = links.where("stindex = 4").select("src", "arr", "dst").distinct()
-    other = near.select("src", "arr", F.col("dst").alias("d2"))
-    out = near.join(other, ["src", "arr"]).where("dst <> d2").select(F.col("dst").alias("src"), F.lit(4).cast("tinyint").alias("stindex"), "arr", F.lit(1.0).cast("float").alias("wgt"), F.lit(0).alias("ctx"), F.col("d2").alias("dst")).distinct()
-    return out
+def closeness(links: DataFrame, blocks: int = 8) -> DataFrame:
+    """Neighbours by one similarity arrow of one node are near each other: weight 1, no context.
+
+    All pairs of a node's neighbours, in `blocks` tasks a node. Only pairs of which both ends have several such nodes
+    may be found more than once; only these are compared.
+    """
+    near = cut(links.where("stindex = 4").select("src", "arr", "dst").distinct())
+    several = near.groupBy("arr", "dst").agg((F.count("*") > 1).alias("several")).where("several")
+    near = cut(near.join(several, ["arr", "dst"], "left").select("src", "arr", "dst", F.col("several").isNotNull().alias("several")))
+    one = near.withColumn("block", F.pmod(F.hash("dst"), F.lit(blocks)))
+    two = near.select("src", "arr", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("dst").alias("d2"), F.col("several").alias("s2"))
+    pairs = one.hint("merge").join(two, ["src", "arr", "block"]).where("dst <> d2")
+    names = ["arr", "dst", "d2"]
+    out = pairs.where("not (several and s2)").select(*names)
+    if not several.isEmpty():
+        out = out.unionByName(pairs.where("several and s2").select(*names).distinct())
+    return out.select(F.col("dst").alias("src"), F.lit(4).cast("tinyint").alias("stindex"), "arr", F.lit(1.0).cast("float").alias("wgt"), F.lit(0).alias("ctx"), F.col("d2").alias("dst"))
 
 
 def caps_variants(nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from processgraph.graph import Graph
-from processgraph.operators import scores, text
+from processgraph.operators import scores
 from processgraph.plans.catalogue import _WORD, CHANNEL, query
 from processgraph.plans.views import read
 from processgraph.registry import Registry

@@ -319,3 +319,18 @@ def test_betweenness_of_more_pairs_than_a_task_may_hold(spark):
     pairs = pairs.unionByName(spark.createDataFrame([(-1, 10**6 + k, 1.0) for k in range(50)], "src long, dst long, weight double"))
     got = A.betweenness(pairs)
     assert got.count() == 200_151 and {r.betweenness for r in got.where("betweenness > 0").collect()} == {4002.0}
+
+
+def test_closeness_of_nodes_with_several_neighbours(spark):
+    rng = random.Random(5)
+    near = {(f"n{rng.randrange(6)}", rng.randrange(2), f"d{rng.randrange(12)}") for _ in range(40)} | {(f"own{k % 2}", 1, f"e{k}") for k in range(8)}
+    rows = [(a, 4, 0, r, 1.0, 0, d) for a, r, d in near] * 2 + [("n0", 5, 0, 1, 1.0, 0, "x"), ("n0", 5, 0, 1, 1.0, 0, "y")]
+    got = [(r.arr, r.src, r.dst) for r in A.closeness(spark.createDataFrame(rows, "src string, stindex tinyint, ord long, arr int, wgt float, ctx int, dst string")).collect()]
+    assert sorted(got) == sorted({(r, d, e) for a, r, d in near for b, q, e in near if (a, r) == (b, q) and d != e})
+
+
+def test_closeness_does_not_shuffle_pairs(spark):
+    rows = [(f"n{k % 5}", 4, 0, 1, 1.0, 0, f"d{k}") for k in range(100)]
+    out = A.closeness(spark.createDataFrame(rows, "src string, stindex tinyint, ord long, arr int, wgt float, ctx int, dst string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 2 and out.count() == 5 * 20 * 19
