@@ -41,24 +41,56 @@ def symmetrize(adj: DataFrame) -> DataFrame:
     return adj.select("src", "dst", "weight").unionByName(back).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def eigenvector(adj: DataFrame, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
-    """(node, evc): power iteration from ones, largest value 1. A vector of zeros starts again at 1 / n."""
-    nodes = cut(members(adj))
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("evc", F.lit(0.0))
-    v = nodes.withColumn("evc", F.lit(1.0))
+def eigenvector(adj: DataFrame, max_iter: int = 100, tol: float = 1e-6, limit: int = SMALL) -> DataFrame:
+    """(node, evc): power iteration from ones, largest value 1. A vector of zeros starts again at 1 / n.
+
+    Nodes without incoming pairs, or with only one from the same node and of the same weight, have the same value
+    in every step, so they are one in the iteration. Up to `limit` pairs that this leaves are iterated at the driver.
+    """
     adj = cut(adj)
+    n = F.coalesce("n", F.lit(0))
+    into = adj.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min(F.struct("src", "weight")).alias("x"))
+    like = F.struct(F.least(n, F.lit(2)).alias("n"), F.when(n == 1, F.col("x.src")).when(n > 1, F.col("node")).alias("a"), F.when(n == 1, F.col("x.weight")).otherwise(0.0).alias("w"))
+    nodes = cut(members(adj).join(into, "node", "left").select("node", like.alias("like")))
+    number = nodes.count()
+    if not number:
+        return nodes.select("node", F.lit(0.0).alias("evc"))
+    several = adj.join(nodes.where("like.n = 2").select(F.col("node").alias("dst"), "like"), "dst").select("src", "weight", "like")
+    single = nodes.where("like.n = 1").select("like").distinct().select(F.col("like.a").alias("src"), F.col("like.w").alias("weight"), "like")
+    step = several.unionByName(single).join(nodes.select(F.col("node").alias("src"), F.col("like").alias("of")).hint("merge"), "src").groupBy("of", "like").agg(F.sum("weight").alias("weight"))
+    step = cut(step)
+    held = step.limit(limit + 1).collect()
+    start = nodes.select("like").distinct()
+    v = _power_held(start, held, number, max_iter, tol) if len(held) <= limit else _power(step, start, number, max_iter, tol)
+    return nodes.join(v, "like").select("node", "evc")
+
+
+def _power_held(start: DataFrame, pairs: list, number: int, max_iter: int, tol: float) -> DataFrame:
+    names = [r["like"] for r in start.collect()]  # one more than the pairs at most
+    index = {x: k for k, x in enumerate(names)}
+    a, b = (np.array([index[p[c]] for p in pairs], np.int64) for c in ("of", "like"))
+    weight, v = np.array([p["weight"] for p in pairs], float), np.ones(len(names))
+    for _ in range(max_iter):
+        moved, old = np.bincount(b, weight * v[a], len(names)), v
+        v = moved / moved.max() if moved.max() > 0 else np.full(len(names), 1.0 / number)
+        if np.abs(v - old).max() < tol:
+            break
+    return F.broadcast(start.sparkSession.createDataFrame([(x, float(y)) for x, y in zip(names, v)], start.withColumn("evc", F.lit(0.0)).schema))
+
+
+def _power(step: DataFrame, start: DataFrame, number: int, max_iter: int, tol: float) -> DataFrame:
+    """By joins that never go through the driver."""
+    v = start.withColumn("evc", F.lit(1.0))
     for k in range(max_iter):
-        moved = adj.join(v.select(F.col("node").alias("src"), "evc"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("evc")).alias("next"))
-        new = cut(v.join(moved, "node", "left").select("node", F.col("evc").alias("old"), F.coalesce("next", F.lit(0.0)).alias("next")))
+        moved = step.hint("merge").join(v.select(F.col("like").alias("of"), "evc"), "of").groupBy("like").agg(F.sum(F.col("weight") * F.col("evc")).alias("next"))
+        new = cut(v.hint("merge").join(moved, "like", "left").select("like", F.col("evc").alias("old"), F.coalesce("next", F.lit(0.0)).alias("next")))
         top = new.agg(F.max("next")).first()[0]
-        scaled = F.col("next") / F.lit(top) if top > 0 else F.lit(1.0 / n)
-        v = new.select("node", "old", scaled.alias("evc"))
+        scaled = F.col("next") / F.lit(top) if top > 0 else F.lit(1.0 / number)
+        v = new.select("like", "old", scaled.alias("evc"))
         if v.agg(F.max(F.abs(F.col("evc") - F.col("old")))).first()[0] < tol:
             break
         v = cut(v.drop("old")) if k % 5 == 4 else v.drop("old")
-    return v.select("node", "evc")
+    return v.select("like", "evc")
 
 
 def eigenvector_steps(adj: DataFrame, steps: int) -> DataFrame:

@@ -321,6 +321,25 @@ def test_betweenness_of_more_pairs_than_a_task_may_hold(spark):
     assert got.count() == 200_151 and {r.betweenness for r in got.where("betweenness > 0").collect()} == {4002.0}
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_eigenvector_step_by_step(spark, monkeypatch, limit):
+    rng = random.Random(3)
+    pairs = {(f"a{rng.randrange(9)}", f"a{rng.randrange(9)}"): rng.randrange(1, 4) for _ in range(20)}
+    pairs |= {(f"a{rng.randrange(9)}", f"leaf{k}"): rng.randrange(1, 3) for k in range(30)} | {(f"leaf{k}", f"a{k % 9}"): 1 for k in range(15)} | {(f"source{k}", f"a{k}"): 2 for k in range(4)}
+    nodes = {x for p in pairs for x in p}
+    v = dict.fromkeys(nodes, 1.0)
+    for _ in range(6):
+        new = {x: sum(w * v[a] for (a, b), w in pairs.items() if b == x) for x in nodes}
+        v = {x: y / max(new.values()) for x, y in new.items()}
+    adj = spark.createDataFrame([(a, b, float(w)) for (a, b), w in pairs.items()], "src string, dst string, weight double")
+    times = []
+    own = A.cut
+    monkeypatch.setattr(A, "cut", lambda df: times.append(1) or own(df))
+    got = {r.node: round(r.evc, 9) for r in A.eigenvector(adj, 6, 0.0, limit).collect()}
+    assert got == {x: round(y, 9) for x, y in v.items()}
+    assert limit == 0 or len(times) == 3
+
+
 def test_closeness_of_nodes_with_several_neighbours(spark):
     rng = random.Random(5)
     near = {(f"n{rng.randrange(6)}", rng.randrange(2), f"d{rng.randrange(12)}") for _ in range(40)} | {(f"own{k % 2}", 1, f"e{k}") for k in range(8)}
