@@ -341,12 +341,15 @@ _RELATIONS = [
     ("note", 3, 0.6, r"is|means?|represents?|describes?"),
     ("ll", 0, 0.6, r"like|similar\s+to|near|resembles?"),
 ]
+_BETWEEN = [(arrow, st, sure, re.compile(rf"\b(?:{words_})\b", re.I)) for arrow, st, sure, words_ in _RELATIONS]
+_ANY_BETWEEN = re.compile(rf"\b(?:{'|'.join(words_ for _, _, _, words_ in _RELATIONS)})\b", re.I)
+_LETTERS = re.compile(r"[a-z]+")
 
 
 def find_entities(text: str) -> list[tuple[str, str, float, int, int]]:
     """(text, kind, confidence, start, end) by passes from sure to unsure; a text is found once. Ends are exclusive, from 0."""
     out, seen = [], set()
-    starts = [0] + [m.end() for m in re.finditer(r"[!?.]\s+", text)]
+    starts = {k + d for k in [0] + [m.end() for m in re.finditer(r"[!?.]\s+", text)] for d in (-1, 0, 1)}
 
     def add(key: str, kind: str, sure: float, a: int, b: int) -> None:
         if key not in seen:
@@ -357,11 +360,12 @@ def find_entities(text: str) -> list[tuple[str, str, float, int, int]]:
         add(m[0], "event", 0.9, *m.span())
     for m in re.finditer(r'"([^"]+)"', text):
         add(m[1], "concept", 0.8, *m.span())
-    for m in re.finditer(r"\b[A-Za-z]+\b", text):
-        if m[0].lower() in _CALENDAR:
-            add(m[0], "event", 0.7, *m.span())
-    for m in re.finditer(r"\b[A-Z][a-z]{2,}\b", text):
-        if m[0].lower() not in _CALENDAR and not any(abs(m.start() - s) <= 1 for s in starts):
+    if not _CALENDAR.isdisjoint(_LETTERS.findall(text.lower())):
+        for m in re.finditer(r"\b[A-Za-z]+\b", text):
+            if m[0].lower() in _CALENDAR:
+                add(m[0], "event", 0.7, *m.span())
+    for m in re.finditer(r"[A-Z](?<!\w.)[a-z]{2,}\b", text):
+        if m.start() not in starts and m[0].lower() not in _CALENDAR:
             add(m[0], "person", 0.6, *m.span())
     for m in re.finditer(r"\b[a-z]+(?:ment|ness|tion)\b", text, re.I):
         add(m[0].lower(), "concept", 0.5, *m.span())
@@ -371,8 +375,8 @@ def find_entities(text: str) -> list[tuple[str, str, float, int, int]]:
 
 
 def relation(between: str) -> tuple[str, int, float]:
-    for arrow, st, sure, words_ in _RELATIONS:
-        if re.search(rf"\b(?:{words_})\b", between, re.I):
+    for arrow, st, sure, words_ in _BETWEEN if _ANY_BETWEEN.search(between) else ():
+        if words_.search(between):
             return arrow, st, sure
     return "ll", 0, 0.3
 
@@ -383,6 +387,11 @@ def suggest(text: str, found: list[tuple[str, str, float, int, int]]) -> list[tu
     return [(a[0], b[0], *relation(text[a[4] : b[3]])) for a, b in zip(own, own[1:]) if a[4] < b[3]]
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Texts dealt out to all tasks; a file may come as a single part."""
+    return docs.select("doc_id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """(doc_id, text, entity_type, confidence, span)."""
 
@@ -392,7 +401,7 @@ def entities(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "text", "entity_type", "confidence", "span"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, entity_type string, confidence double, span struct<start:int,end:int>")
+    return _dealt(docs).mapInPandas(run, f"doc_id {kind}, text string, entity_type string, confidence double, span struct<start:int,end:int>")
 
 
 def suggested_links(docs: DataFrame) -> DataFrame:
@@ -402,7 +411,7 @@ def suggested_links(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "source", "target", "arrow", "sttype", "confidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, source string, target string, arrow string, sttype int, confidence double")
+    return _dealt(docs).mapInPandas(run, f"doc_id {kind}, source string, target string, arrow string, sttype int, confidence double")
 
 
 def breakdown_notes(text: str, chapter: str = "default") -> str:

@@ -232,3 +232,16 @@ def test_pages(spark):
     ctx = spark.createDataFrame([(1, "a"), (2, "b")], "ptr int, context string")
     toc = {r.chapter: r.contexts for r in C.contents(p, ctx).collect()}
     assert toc["Chapter 0"][:3] == ["", "b", "a"]
+
+
+def test_entities_of_a_long_text_take_time_in_proportion():
+    """A capital is near the start of a sentence or not; this was asked of every sentence for every capital."""
+    import time
+
+    part = "We met Alice near the garden on Monday. xMay Anna and MayBe went. A Bob, éMarch or a nation! "
+    kinds = {(t, k) for t, k, *_ in text.find_entities(part)}
+    assert kinds == {("Monday", "event"), ("Alice", "person"), ("Anna", "person"), ("Bob", "person"), ("bob", "thing"), ("nation", "concept"), ("garden", "thing")}
+    long = part * 20_000
+    began = time.process_time()
+    assert {(t, k) for t, k, *_ in text.find_entities(long)} == kinds
+    assert time.process_time() - began < 60
