@@ -14,13 +14,17 @@ from processgraph.lineage import cut
 SMALL = 200_000
 
 
-def adjacency(links: DataFrame, arrows: list[int] = (), nodes: DataFrame | None = None, chapter: str = "", keep_unnamed: bool = True) -> DataFrame:
-    """(src, dst, weight): sums over the links of each pair, of some arrows, from nodes of a chapter."""
+def adjacency(links: DataFrame, arrows: list[int] = (), nodes: DataFrame | None = None, chapter: str = "", keep_unnamed: bool = True, tasks: int | None = None) -> DataFrame:
+    """(src, dst, weight): sums over the links of each pair, of some arrows, from nodes of a chapter. tasks: how many divide the pairs, if that is more than the session says."""
     own = links.where(F.col("arr").isin(*arrows)) if arrows else links
     if chapter and nodes is not None:
         ok = F.contains("chapter", F.lit(chapter)) | ((F.col("chapter") == "") if keep_unnamed else F.lit(False))
         own = own.join(nodes.where(ok).select(F.col("nid").alias("src")), "src", "left_semi")
-    return own.groupBy("src", "dst").agg(F.sum(F.col("wgt").cast("double")).alias("weight"))
+    return _dealt(own, tasks).groupBy("src", "dst").agg(F.sum(F.col("wgt").cast("double")).alias("weight"))
+
+
+def _dealt(pairs: DataFrame, tasks: int | None) -> DataFrame:
+    return pairs.repartition(tasks, "src", "dst") if tasks else pairs
 
 
 def members(adj: DataFrame) -> DataFrame:
@@ -35,10 +39,10 @@ def sinks(adj: DataFrame) -> DataFrame:
     return adj.select(F.col("dst").alias("node")).distinct().join(adj.select(F.col("src").alias("node")), "node", "left_anti")
 
 
-def symmetrize(adj: DataFrame) -> DataFrame:
+def symmetrize(adj: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each pair counts in both directions; a loop at a node counts twice."""
     back = adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return adj.select("src", "dst", "weight").unionByName(back).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return _dealt(adj.select("src", "dst", "weight").unionByName(back), tasks).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def eigenvector(adj: DataFrame, max_iter: int = 100, tol: float = 1e-6, limit: int = SMALL) -> DataFrame:

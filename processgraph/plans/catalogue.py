@@ -351,7 +351,8 @@ def containing_parent(spark, sf):
 
 @query(f"WITH {SUP} SELECT src, dst, round(sum(wgt::FLOAT::DOUBLE), 6) AS weight FROM sup WHERE arr = 3 GROUP BY ALL")
 def adjacency(spark, sf):
-    return A.adjacency(V.sup(spark, sf), [3]).select("src", "dst", F.round("weight", 6).alias("weight"))
+    n = V.tasks(read(spark, sf, "lineitem"))
+    return A.adjacency(V.sup(spark, sf), [3], tasks=n).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {ORD}, f AS (SELECT * FROM ords WHERE arr = 3) SELECT DISTINCT src AS node FROM f WHERE src NOT IN (SELECT dst FROM f)")
@@ -366,7 +367,8 @@ def sinks(spark, sf):
 
 @query(f"WITH {SUP}, f AS (SELECT src, dst, wgt::FLOAT::DOUBLE AS w FROM sup WHERE arr = 3) SELECT src, dst, round(sum(w), 6) AS weight FROM (SELECT src, dst, w FROM f UNION ALL SELECT dst, src, w FROM f) GROUP BY ALL")
 def symmetrize(spark, sf):
-    return A.symmetrize(A.adjacency(V.sup(spark, sf), [3])).select("src", "dst", F.round("weight", 6).alias("weight"))
+    n = V.tasks(read(spark, sf, "lineitem"))
+    return A.symmetrize(A.adjacency(V.sup(spark, sf), [3], tasks=n), n and 2 * n).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {ORD}, f AS (SELECT * FROM ords WHERE arr = 3) SELECT (SELECT count(*) FROM (SELECT src FROM f UNION SELECT dst FROM f)) AS nodes, (SELECT count(*) FROM f) AS links, (SELECT count(DISTINCT src) FROM f WHERE src NOT IN (SELECT dst FROM f)) AS sources, (SELECT count(DISTINCT dst) FROM f WHERE dst NOT IN (SELECT src FROM f)) AS sinks")

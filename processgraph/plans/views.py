@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROWS = 500_000
 COLUMNS = ("src", "stindex", "ord", "arr", "wgt", "ctx", "dst")
 
 
@@ -90,8 +91,17 @@ ORD = """chained AS (SELECT 'o:' || o_orderkey AS a, lead('o:' || o_orderkey) OV
 ords AS (SELECT a AS src, 5 AS stindex, n AS ord, 3 AS arr, b AS dst FROM chained WHERE b IS NOT NULL UNION ALL SELECT b, 3, n, 4, a FROM chained WHERE b IS NOT NULL)"""
 
 
+def tasks(df: DataFrame) -> int | None:
+    """How many tasks keep to ROWS rows each, if these are more than the session says."""
+    n = -(-df.count() // ROWS)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def sup(spark: SparkSession, sf: str) -> DataFrame:
-    own = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    own = read(spark, sf, "lineitem")
+    by, n = ("l_partkey", "l_suppkey"), tasks(own)
+    # dealt out first: hardly two rows of a file have the same pair, and a task would hold all pairs of its part of the file
+    own = (own.repartition(n, *by) if n else own.repartition(*by)).groupBy(*by).agg(F.sum("l_quantity").alias("q"))
     return both(own, key("p", "l_partkey"), key("s", "l_suppkey"), 5, 3, F.col("l_suppkey"), F.col("q"))
 
 
