@@ -353,3 +353,17 @@ def test_closeness_does_not_shuffle_pairs(spark):
     out = A.closeness(spark.createDataFrame(rows, "src string, stindex tinyint, ord long, arr int, wgt float, ctx int, dst string"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Exchange") == 2 and out.count() == 5 * 20 * 19
+
+
+def test_sums_over_many_rows_are_divided_among_more_tasks(spark, monkeypatch):
+    from processgraph.plans import catalogue
+    from processgraph.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("adjacency", "symmetrize"):
+        monkeypatch.setattr(V, "ROWS", 500_000)
+        want = sorted(map(tuple, catalogue.QUERIES[name](spark, sf).collect()))
+        monkeypatch.setattr(V, "ROWS", 1000)
+        out = catalogue.QUERIES[name](spark, sf)
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == want
